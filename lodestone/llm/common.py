@@ -83,6 +83,7 @@ def later_deliveries(df: DataFrame, key: Column, number: str) -> DataFrame:
 def records(df: DataFrame, key: str = "id", number: str = "sample_no") -> DataFrame:
     """One row for each key: the one with the smallest number. Rows without a key are records of their own.
 
-    Only the few later deliveries travel to the wide rows, as an anti join whose small side Spark broadcasts only while its size permits.
+    The few later deliveries are written first, so that Spark knows their size: it broadcasts them to the wide rows while that is below
+    its threshold, and shuffles both sides otherwise.
     """
-    return df.join(later_deliveries(df, present(F.col(key)), number), number, "left_anti")
+    return df.join(stored(later_deliveries(df, present(F.col(key)), number), "later"), number, "left_anti")
