@@ -26,13 +26,16 @@ def cross_split_overlaps(df: DataFrame, key: str = "sample_no", text: str = "tex
     # a class: its smallest key, and on which sides it has records; bands and bits are the same for all its records
     cls = sk.groupBy(*on).agg(
         F.min("key").alias("rep"), F.max((F.col("side") == against)).alias("in_a"), F.max((F.col("side") != against)).alias("in_o"),
-        F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+        F.first("bits").alias("bits"), F.first("more").alias("more"), F.first("bands").alias("bands"))
     cls = stored(cls, "classes")
     band = cls.select("rep", "n", "bits", "in_a", "in_o", F.posexplode("bands").alias("i", "band"))
     band = band.withColumn("band", F.expr("(cast(i as bigint) << 32) | (cast(band as bigint) & 4294967295)")).drop("i")
     x = band.where("in_a").select("band", F.col("rep").alias("ra"), F.col("n").alias("na"), F.col("bits").alias("ba"))
     y = band.where("in_o").select("band", F.col("rep").alias("ro"), F.col("n").alias("no"), F.col("bits").alias("bo"))
     cand = x.join(y, "band").where((F.col("ra") != F.col("ro")) & may_be_near("na", "no", "ba", "bo")).select("ra", "ro").distinct()
+    # a second sketch, which needn't travel with every band, leaves few pairs to be compared
+    a, o = (cls.select(F.col("rep").alias(r), F.col("n").alias(n), F.col("more").alias(m)) for r, n, m in (("ra", "na", "ma"), ("ro", "no", "mo")))
+    cand = cand.join(a, "ra").join(o, "ro").where(may_be_near("na", "no", "ma", "mo")).select("ra", "ro")
     near = near_verified(stored(cand, "candidates"), df.select(F.col(key).alias("key"), F.col(text).alias("text")), "ra", "ro")
     same = cls.where("in_a and in_o").select(F.col("rep").alias("ra"), F.col("rep").alias("ro"))
     pairs = near.unionByName(same)

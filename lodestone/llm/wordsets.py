@@ -106,8 +106,8 @@ def _lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 class Sketch:
-    """What is computed of the texts of a slice that have a word: n, sketch (64 bits, each the parity of the keys that fall on it),
-    h (a hash of the multiset), and the words' hashes and keys."""
+    """What is computed of the texts of a slice that have a word: n, two sketches (64 bits, each the parity of the keys that fall on it),
+    a hash of the multiset, and the words' hashes and keys."""
 
     def __init__(self, texts: list[str | None]):
         h, counts = hashed(texts)
@@ -118,9 +118,10 @@ class Sketch:
         self.starts = np.cumsum(self.n) - self.n
         if len(self.has):
             self.bits = np.bitwise_xor.reduceat(U(1) << (self.key >> U(58)), self.starts).view(np.int64)
+            self.more = np.bitwise_xor.reduceat(U(1) << ((self.key >> U(40)) & U(63)), self.starts).view(np.int64)
             self.multiset = mix(np.add.reduceat(mix(h), self.starts) + self.n.astype(np.uint64)).view(np.int64)
         else:
-            self.bits = self.multiset = np.zeros(0, np.int64)
+            self.bits = self.more = self.multiset = np.zeros(0, np.int64)
 
     def columns(self) -> list[pa.Array]:
         return [pa.array(self.n.astype(np.int32)), pa.array(self.bits), pa.array(self.multiset)]
@@ -145,8 +146,8 @@ def _mapped(df: DataFrame, more: str, f) -> DataFrame:
 
 
 def with_bands(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset and bands (array of int) of the last column, the text, which is dropped."""
-    return _mapped(df, "bands array<int>", lambda s: [_lists(bands(s.key, s.starts).ravel(), np.full(len(s.has), BANDS), pa.int32())])
+    """Adds n, bits, multiset, more (a second sketch) and bands (array of int) of the last column, the text, which is dropped."""
+    return _mapped(df, "more long, bands array<int>", lambda s: [pa.array(s.more), _lists(bands(s.key, s.starts).ravel(), np.full(len(s.has), BANDS), pa.int32())])
 
 
 def with_keys(df: DataFrame) -> DataFrame:
