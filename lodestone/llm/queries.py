@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from lodestone.llm import confusables, overlap
-from lodestone.llm.common import present, records, spread, stored, table
+from lodestone.llm import confusables, consensus, grouping, overlap
+from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -39,6 +40,47 @@ def p2_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap.overlap_report(overlap.cross_split_overlaps(spread(df)), df)
 
 
+# 3 ---------------------------------------------------------------------------------------------------------------------------------
+def _labels(spark: SparkSession, d: str) -> DataFrame:
+    outcome = present(F.col("outcome"))
+    return consensus.latest_labels(table(spark, d, "evaluation_results"), present(F.col("attack_id")), model_key(F.col("model")), F.when(outcome != "error", outcome), F.col("ts_epoch"), F.col("result_no"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_consensus(spark, d).where("n_labels >= 3").select("attack_id", "outcome")
+
+
+def p3_consensus(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(*consensus.fit(_labels(spark, d))).withColumnsRenamed({"item": "attack_id", "label": "outcome"})
+
+
+def p3_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.reliabilities(*consensus.fit(_labels(spark, d))).withColumnRenamed("worker", "model")
+
+
+# 4 ---------------------------------------------------------------------------------------------------------------------------------
+def _links() -> list:
+    return [hash_key(F.col("family_sha256")), present(F.col("contributor")), present(F.col("source_ref"))]
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    df = samples(spark, d).select("sample_no", "family_sha256", "contributor", "source_ref")
+    return grouping.related(df, "sample_no", _links()).select(F.col("node").alias("sample_no"), F.col("component").alias("group_no"))
+
+
+def p4_splits(spark: SparkSession, d: str) -> DataFrame:
+    df = samples(spark, d).select("sample_no", "family_sha256", "contributor", "source_ref", present(F.col("label")).alias("label"))
+    group = grouping.related(df, "sample_no", _links()).select(F.col("node").alias("sample_no"), "component")
+    rows = df.join(group, "sample_no", "left").select("sample_no", F.coalesce("component", "sample_no").alias("component"), "label")
+    targets = [(r["split"], r["target_share"]) for r in table(spark, d, "split_targets").orderBy(F.desc("target_share"), "split").collect()]
+    return grouping.grouped_splits(rows, targets).select("sample_no", F.col("component").alias("group_no"), "split")
+
+
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    n = p4_splits(spark, d).groupBy("split").agg(F.count("*").alias("n_records"), F.countDistinct("group_no").alias("n_groups"))
+    return n.withColumn("share", F.round(F.col("n_records") / F.sum("n_records").over(W.partitionBy()), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
