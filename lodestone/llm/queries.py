@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm import confusables, consensus, grouping, overlap
+from lodestone.llm import confusables, consensus, grouping, language, overlap
 from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
 
 
@@ -81,6 +81,17 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n_records") / F.sum("n_records").over(W.partitionBy()), 6))
 
 
+# 5 ---------------------------------------------------------------------------------------------------------------------------------
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    df = samples(spark, d).select("sample_no", "text", "source_lang")
+    return language.relabelled(spread(df), "sample_no", "text", "source_lang", language.fit(df, "text", "source_lang")).select("sample_no", "segment_no", "lang")
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "attack_samples").select("sample_no", "text", "source_lang")
+    return language.segments(spread(df), "sample_no", "text", language.fit(df, "text", "source_lang"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
