@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm import confusables, consensus, grouping, language, overlap
+from lodestone.llm import confusables, consensus, grouping, language, overlap, pairs
 from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
 
 
@@ -92,6 +92,20 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(spread(df), "sample_no", "text", language.fit(df, "text", "source_lang"))
 
 
+# 6 ---------------------------------------------------------------------------------------------------------------------------------
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    df = spread(table(spark, d, "evaluation_results").select("result_no", "attack_text", "response_text", "error", "source_lang"))
+    judge = pairs.fit(df, "attack_text", "response_text", language.fit(df, "attack_text", "source_lang"))
+    return pairs.defective(df, "result_no", "attack_text", "response_text", "error", judge)
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Rows and defects of each model."""
+    model = table(spark, d, "evaluation_results").select("result_no", model_key(F.col("model")).alias("model"))
+    x = model.join(p6_found(spark, d), "result_no", "left")
+    return x.groupBy("model", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
