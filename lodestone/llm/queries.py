@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm import confusables, consensus, grouping, language, overlap, pairs
+from lodestone.llm import confusables, consensus, grouping, history, language, overlap, pairs
 from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
 
 
@@ -106,6 +106,15 @@ def p6_report(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("model", F.coalesce("defect", F.lit("none")).alias("defect")).agg(F.count("*").alias("n"))
 
 
+# 7 ---------------------------------------------------------------------------------------------------------------------------------
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    cols = [F.col("sample_no").alias("no"), "id", "family_sha256", "text"]
+    old = spread(table(spark, d, "attack_samples").select(*cols))
+    new = spread(table(spark, d, "incoming_samples").select(*cols, "batch_no"))
+    found = history.repeats(old, new, "batch_no", [present(F.col("id")), hash_key(F.col("family_sha256"))])
+    return found.select("match_no", F.col("no").alias("sample_no"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
