@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lodestone.llm import confusables, consensus, grouping, history, language, overlap, pairs
+from lodestone.llm import confusables, consensus, grouping, history, language, mixing, overlap, packing, pairs, subjects, tokens
 from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
 
 
@@ -115,6 +115,65 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("match_no", F.col("no").alias("sample_no"))
 
 
+# 8 ---------------------------------------------------------------------------------------------------------------------------------
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    return stored(docs.select(F.col("doc_id").alias("item"), tokens.count_tokens(F.col("text")).alias("size")), "sizes")
+
+
+def p8_windows(spark: SparkSession, d: str) -> DataFrame:
+    items, out = _sized(spark, d), None
+    for r in table(spark, d, "context_windows").orderBy("capacity_tokens", "window_name").collect():
+        x = packing.pack(items, r["capacity_tokens"]).select(F.lit(r["window_name"]).alias("window_name"), F.col("container").alias("window_no"), F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("length").alias("n_tokens"))
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
+def p8_unused(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of each kind, those that the tokens would fill at least, and the unused share."""
+    size = table(spark, d, "context_windows").select("window_name", "capacity_tokens")
+    used = p8_windows(spark, d).groupBy("window_name").agg(F.countDistinct("window_no").alias("n_windows"), F.sum("n_tokens").alias("n_tokens"))
+    return used.join(F.broadcast(size), "window_name").select(
+        "window_name", "n_windows", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("n_least"), "n_tokens",
+        (F.col("n_windows") * F.col("capacity_tokens") - F.col("n_tokens")).alias("n_unused"), F.round(1 - F.col("n_tokens") / (F.col("n_windows") * F.col("capacity_tokens")), 6).alias("unused_share"))
+
+
+# 9 ---------------------------------------------------------------------------------------------------------------------------------
+def p9_uses(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").withColumn("source", mixing.source_key(F.col("source"))).collect()]
+    own = spread(docs.withColumn("source", mixing.source_key(F.col("source"))).where(F.col("source").isin([t[0] for t in targets])))
+    lang = language.segments(own, "doc_id", "text", language.fit(docs, "text", "lang")).groupBy("doc_id").agg(F.max_by("lang", F.struct("n_chars", "lang")).alias("language"))
+    topic = _subjects(spark, d, own).groupBy("doc_id").agg(F.max_by("subject", F.struct("n_sentences", "subject")).alias("topic"))
+    sized = own.select("doc_id", "source", tokens.count_tokens(F.col("text")).alias("tokens"))
+    cells = sized.join(lang, "doc_id").join(topic, "doc_id", "left").withColumnRenamed("doc_id", "item")
+    out = mixing.mixed(cells, {t[0]: t[1] for t in targets}, {t[0]: t[2] for t in targets})
+    return out.select(F.col("item").alias("doc_id"), "source", "language", "topic", F.col("tokens").alias("n_tokens"), "weight", "uses")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p9_uses(spark, d).withColumnRenamed("n_tokens", "tokens"), table(spark, d, "mix_targets"))
+
+
+# 10 --------------------------------------------------------------------------------------------------------------------------------
+def _subjects(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    names = [r["subject"] for r in table(spark, d, "subjects").collect()]
+    model = subjects.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels"), names)
+    return subjects.document_subjects(docs, "doc_id", "text", model)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d, spread(table(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "subject")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents on each subject, and on none, with their share of all documents."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    x = docs.select("doc_id").join(_subjects(spark, d, docs), "doc_id", "left").withColumn("subject", F.coalesce("subject", F.lit("none")))
+    n = x.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_sentences").alias("n_sentences"))
+    return n.withColumn("share", F.round(F.col("n_documents") / docs.count(), 6))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
 
