@@ -9,6 +9,8 @@ three choices depend only on what the text looks like, so texts that look alike
 
 from __future__ import annotations
 
+import functools
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -40,8 +42,8 @@ for _script, _letters in OTHER.items():
 
 _SCRIPTS = [LATIN, *OTHER]
 _SCRIPT_RE = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in _SCRIPTS]
-_PLAIN = regex.compile(r"[\x00-\x7f]*")
-_FOREIGN = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]")
+# the blocks of the scripts above
+_FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab70-\uabbf]")
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _SETS: dict[str, frozenset] = {}
 
@@ -82,6 +84,7 @@ def _scripts(ch: str) -> frozenset | None:
     return _SETS[ch]
 
 
+@functools.lru_cache(200_000)
 def _resolve(token: str) -> tuple[frozenset, str | None]:
     """The scripts that all letters share; if none, the script that most settled letters have."""
     sets = [x for x in map(_scripts, token) if x is not None]
@@ -95,19 +98,23 @@ def _resolve(token: str) -> tuple[frozenset, str | None]:
     return common, max(sorted(count, key=lambda s: _SCRIPTS.index(s) if s in _SCRIPTS else 9), key=lambda s: count[s]) if count else LATIN
 
 
+@functools.lru_cache(200_000)
 def _spelled(token: str, script: str) -> str:
     return "".join((s := SPELL[CLASS[c]]).get(script) or s[LATIN] if c in CLASS else c for c in token)
 
 
 def canonical(text: str | None) -> str | None:
     """The consistent form. Null stays null, an empty text stays empty; text of plain ASCII is returned as it is."""
-    if text is None or text.isascii():
-        return text
+    return text if text is None or text.isascii() else _formed(text)
+
+
+@functools.lru_cache(256)
+def _formed(text: str) -> str:
     text = text.translate(_FORMS)
     if text.isascii():
         return text
     if not _FOREIGN.search(text):
-        return unicodedata.normalize("NFC", text)
+        return text if unicodedata.is_normalized("NFC", text) else unicodedata.normalize("NFC", text)
     text = unicodedata.normalize("NFD", text)
     found = [(m, *_resolve(m[0])) for m in _TOKEN.finditer(text)]
     settled: dict[str, int] = {}

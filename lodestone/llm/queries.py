@@ -84,18 +84,18 @@ def p4_shares(spark: SparkSession, d: str) -> DataFrame:
 # 5 ---------------------------------------------------------------------------------------------------------------------------------
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     df = samples(spark, d).select("sample_no", "text", "source_lang")
-    return language.relabelled(spread(df), "sample_no", "text", "source_lang", language.fit(df, "text", "source_lang")).select("sample_no", "segment_no", "lang")
+    return language.relabelled(spread(df), "sample_no", "text", "source_lang", language.fit(df, "sample_no", "text", "source_lang")).select("sample_no", "segment_no", "lang")
 
 
 def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "attack_samples").select("sample_no", "text", "source_lang")
-    return language.segments(spread(df), "sample_no", "text", language.fit(df, "text", "source_lang"))
+    return language.segments(spread(df), "sample_no", "text", language.fit(df, "sample_no", "text", "source_lang"))
 
 
 # 6 ---------------------------------------------------------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     df = spread(table(spark, d, "evaluation_results").select("result_no", "attack_text", "response_text", "error", "source_lang"))
-    judge = pairs.fit(df, "attack_text", "response_text", language.fit(df, "attack_text", "source_lang"))
+    judge = pairs.fit(df, "result_no", "attack_text", "response_text", language.fit(df, "result_no", "attack_text", "source_lang"))
     return pairs.defective(df, "result_no", "attack_text", "response_text", "error", judge)
 
 
@@ -143,7 +143,7 @@ def p9_uses(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").withColumn("source", mixing.source_key(F.col("source"))).collect()]
     own = spread(docs.withColumn("source", mixing.source_key(F.col("source"))).where(F.col("source").isin([t[0] for t in targets])))
-    lang = language.segments(own, "doc_id", "text", language.fit(docs, "text", "lang")).groupBy("doc_id").agg(F.max_by("lang", F.struct("n_chars", "lang")).alias("language"))
+    lang = language.segments(own, "doc_id", "text", language.fit(docs, "doc_id", "text", "lang")).groupBy("doc_id").agg(F.max_by("lang", F.struct("n_chars", "lang")).alias("language"))
     topic = _subjects(spark, d, own).groupBy("doc_id").agg(F.max_by("subject", F.struct("n_sentences", "subject")).alias("topic"))
     sized = own.select("doc_id", "source", tokens.count_tokens(F.col("text")).alias("tokens"))
     cells = sized.join(lang, "doc_id").join(topic, "doc_id", "left").withColumnRenamed("doc_id", "item")

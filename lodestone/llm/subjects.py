@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import present
+from lodestone.llm.common import present, smallest
 from lodestone.llm.confusables import canonical
-from lodestone.llm.language import sentences
+from lodestone.llm.language import LONGEST, sentences
 from lodestone.llm.pairs import masked
 
 SIZE, PAIRS = 1 << 16, 1 << 18
-#: Labelled and other documents to which the models are fitted at most, those with the smallest hashes.
+#: Labelled and other documents to which the models are fitted at most, those whose keys have the smallest hashes, of up to LONGEST characters.
 LABELLED, OTHERS = 4000, 4000
 #: A paragraph deals with a subject if it has at least SENTENCES sentences, of which as many are on it (one may go unrecognised where there are no more),
 #: and at least SHARE of those on any.
@@ -165,9 +165,10 @@ class SubjectModel:
 def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc_id", text: str = "text", subject: str = "subject") -> SubjectModel:
     """A model of the subjects from docs (key, text) and labels (key, subject; null = none). Of several labels of a document the smallest counts."""
     lab = labels.groupBy(key).agg(F.min(present(F.col(subject))).alias("l"))
-    x = docs.select(key, F.substring(text, 1, 20_000).alias("t")).where("length(t) > 0").withColumn("h", F.xxhash64("t"))
-    yes = x.join(lab, key).select("h", "t", "l").orderBy("h").limit(LABELLED).collect()
-    no = x.join(lab, key, "left_anti").select("h", "t").orderBy("h").limit(OTHERS).collect()
+    x = docs.select(key, F.col(text).alias("t")).where(f"length(t) between 1 and {LONGEST}")
+    yes = smallest(x.join(lab, key), key, LABELLED).collect()
+    no = smallest(x.join(lab, key, "left_anti"), key, OTHERS).collect()
+    yes, no = (sorted(y, key=lambda r: r[key]) for y in (yes, no))
     return SubjectModel.train([(r["t"], r["l"], True) for r in yes] + [(r["t"], None, False) for r in no], subjects)
 
 
