@@ -57,8 +57,8 @@ def smallest(df: DataFrame, key: str, rows: int) -> DataFrame:
 
 
 def clean(c: Column) -> Column:
-    """Case and outer white space removed (all of \\s, so a trailing line break too)."""
-    return F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    """Case and outer white space removed, a trailing line break too."""
+    return F.lower(F.btrim(c, F.lit(" \t\n\r\f\v\u00a0")))
 
 
 def present(c: Column) -> Column:

@@ -1,6 +1,6 @@
 """Problem 7: new batches against all history, by a segment index for edit distance.
 
-A text of n words is stored as n // 9 + 1 segments of about equal length, with their positions. A near copy differs from it in at most
+A text of n words is stored as n // 9 + 1 segments of equal length (7 words, in short texts fewer), with their positions. A near copy differs from it in at most
 n // 9 replaced words, so one of the segments is left whole in it, and is found when all the batch text's substrings of the lengths that
 segments can have are looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; what
 remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
@@ -28,6 +28,7 @@ class SegmentIndex:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: list[str] = []
+        self.sketches: list[DataFrame] = []
 
     def _keys(self, df: DataFrame, keys: list[Column]) -> DataFrame:
         kinds = F.array(*[F.when(c.isNotNull(), F.xxhash64(F.lit(f"key {i}"), c)) for i, c in enumerate(keys)])
@@ -46,6 +47,7 @@ class SegmentIndex:
         (alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd")
             .option("path", f"{checkpoint_dir(self.spark)}/lodestone/{name}").saveAsTable(name))
         self.tables.append(name)
+        self.sketches.append(seg.select("no", "n", "more"))
 
     def probe(self, df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
         """probe_no, no, sure: entries with a smaller no that match (sure) or may match one of df's rows."""
@@ -90,6 +92,9 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Colu
     texts = history.select(F.col("no").alias("key"), F.col(text).alias("text")).unionByName(incoming.select(F.col("no").alias("key"), F.col(text).alias("text")))
     sure = all_.where("sure").groupBy("probe_no").agg(F.min("no").alias("no"))
     # only candidates with a smaller number than what is sure can change the result
-    open_ = all_.where("not sure").join(sure.select("probe_no", F.col("no").alias("least")), "probe_no", "left").where("least is null or no < least").select("probe_no", "no")
+    sketch = functools.reduce(DataFrame.unionByName, index.sketches)
+    p, q = (sketch.selectExpr(f"no as {a}", f"n as n_{a}", f"more as more_{a}") for a in ("probe_no", "no"))
+    open_ = all_.where("not sure").join(sure.select("probe_no", F.col("no").alias("least")), "probe_no", "left").where("least is null or no < least")
+    open_ = open_.join(p, "probe_no").join(q, "no").where(may_be_near("n_no", "n_probe_no", "more_no", "more_probe_no")).select("probe_no", "no")
     near = near_verified(stored(open_, "open"), texts, "probe_no", "no")
     return sure.unionByName(near.select("probe_no", "no")).groupBy("probe_no").agg(F.min("no").alias("match_no")).select("match_no", F.col("probe_no").alias("no"))

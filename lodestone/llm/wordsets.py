@@ -166,28 +166,29 @@ def _window_hash(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return mix(out ^ length.astype(np.uint64)).view(np.int64)
 
 
-def segments_of(n: np.ndarray) -> np.ndarray:
-    return n // PER_SEGMENT + 1
+def segments_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and length of the segments of texts of n words. They start at equal distances and don't overlap; from 28 words on all have 7 words."""
+    g = n // PER_SEGMENT + 1
+    return g, np.minimum(n // g, np.where(n < 28, n, 7))
 
 
 def _segments(s: Sketch) -> list[pa.Array]:
-    g = segments_of(s.n)
+    g, size = segments_of(s.n)
     doc = np.repeat(np.arange(len(g)), g)
     i = np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)
-    lo, hi = i * s.n[doc] // g[doc], (i + 1) * s.n[doc] // g[doc]
-    return [_lists(_window_hash(s.h, s.starts[doc] + lo, hi - lo), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
+    lo = i * s.n[doc] // g[doc]
+    return [pa.array(s.more), _lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
 
 
 def with_segments(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset, segment (array of long: hashes of the n // 9 + 1 segments of about equal length) and at (their positions)."""
-    return _mapped(df, "segment array<bigint>, at array<int>", _segments)
+    """Adds n, bits, multiset, more (a second sketch), segment (array of long: hashes of the n // 9 + 1 segments) and at (their positions)."""
+    return _mapped(df, "more long, segment array<bigint>, at array<int>", _segments)
 
 
 def _window_lengths(n: int) -> list[int]:
     """The lengths that segments have in texts whose number of words lets them be near copies of a text of n words."""
     m = np.arange(-(-4 * n // 5), 5 * n // 4 + 1)
-    g = segments_of(m)
-    return sorted({int(x) for x in [*(m // g), *(-(-m // g))] if 0 < x <= n})
+    return sorted({int(x) for x in segments_of(m)[1] if 0 < x <= n})
 
 
 _LENGTHS: dict[int, list[int]] = {}
