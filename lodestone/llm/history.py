@@ -1,9 +1,9 @@
 """Problem 7: new batches against all history, by a segment index for edit distance.
 
-A text of n words is stored as n // 9 + 1 segments of equal length (7 words, in short texts fewer), with their positions. A near copy differs from it in at most
-n // 9 replaced words, so one of the segments is left whole in it, and is found when all the batch text's substrings of the lengths that
-segments can have are looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; what
-remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
+A near copy of a text of n words has at most n // 9 of its words replaced. Of the text's segments of four words, which have fixed places,
+n // 9 + 1 are stored with their positions: one of them is left whole in the near copy, and is found when all the batch text's substrings of four words
+are looked up. Which segments are stored is free; those with the rarest words are, so that phrases that many texts share are hardly ever looked up.
+Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; what remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
 as another table; what is in the index is never worked out again, and joins read it in the buckets in which it was written.
 """
 
@@ -15,10 +15,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint_dir, stored
-from lodestone.llm.wordsets import PER_SEGMENT, may_be_near, near_verified, with_segments, with_windows
+from lodestone.llm.common import checkpoint_dir, smallest, stored
+from lodestone.llm.language import LONGEST
+from lodestone.llm.wordsets import PER_SEGMENT, common_words, may_be_near, near_verified, with_segments, with_windows
 
-ENTRY = "k long, no long, n int, at int, bits long"
+#: Texts from which it is estimated how frequent words are, at most, when the index is begun.
+FREQUENCY_ROWS = 2000
 
 
 class SegmentIndex:
@@ -28,7 +30,7 @@ class SegmentIndex:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: list[str] = []
-        self.sketches: list[DataFrame] = []
+        self.common = None
 
     def _keys(self, df: DataFrame, keys: list[Column]) -> DataFrame:
         kinds = F.array(*[F.when(c.isNotNull(), F.xxhash64(F.lit(f"key {i}"), c)) for i, c in enumerate(keys)])
@@ -36,7 +38,9 @@ class SegmentIndex:
 
     def append(self, df: DataFrame, keys: list[Column], text: str = "text") -> None:
         """df has `no`, the text and the columns of which keys are made. Null keys and texts without words make no entry."""
-        seg = stored(with_segments(df.select("no", F.col(text).alias("text"))), "segments")
+        if self.common is None:
+            self.common = common_words([r[0] for r in smallest(df.select("no", F.col(text).alias("t")).where(f"length(t) <= {LONGEST}"), "no", FREQUENCY_ROWS).select("t").collect()])
+        seg = stored(with_segments(df.select("no", F.col(text).alias("text")), self.common), "segments")
         alone = self._keys(df, keys).unionByName(seg.select(F.xxhash64(F.lit("words"), "multiset", "n").alias("k"), "no"))
         alone = alone.groupBy("k").agg(F.min("no").alias("no")).selectExpr("k", "no", "0 as n", "0 as at", "0L as bits")
         # of texts with the same words in the same order, the first stands for all
@@ -47,7 +51,6 @@ class SegmentIndex:
         (alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd")
             .option("path", f"{checkpoint_dir(self.spark)}/lodestone/{name}").saveAsTable(name))
         self.tables.append(name)
-        self.sketches.append(seg.select("no", "n", "more"))
 
     def probe(self, df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
         """probe_no, no, sure: entries with a smaller no that match (sure) or may match one of df's rows."""
@@ -92,9 +95,6 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Colu
     texts = history.select(F.col("no").alias("key"), F.col(text).alias("text")).unionByName(incoming.select(F.col("no").alias("key"), F.col(text).alias("text")))
     sure = all_.where("sure").groupBy("probe_no").agg(F.min("no").alias("no"))
     # only candidates with a smaller number than what is sure can change the result
-    sketch = functools.reduce(DataFrame.unionByName, index.sketches)
-    p, q = (sketch.selectExpr(f"no as {a}", f"n as n_{a}", f"more as more_{a}") for a in ("probe_no", "no"))
-    open_ = all_.where("not sure").join(sure.select("probe_no", F.col("no").alias("least")), "probe_no", "left").where("least is null or no < least")
-    open_ = open_.join(p, "probe_no").join(q, "no").where(may_be_near("n_no", "n_probe_no", "more_no", "more_probe_no")).select("probe_no", "no")
+    open_ = all_.where("not sure").join(sure.select("probe_no", F.col("no").alias("least")), "probe_no", "left").where("least is null or no < least").select("probe_no", "no")
     near = near_verified(stored(open_, "open"), texts, "probe_no", "no")
     return sure.unionByName(near.select("probe_no", "no")).groupBy("probe_no").agg(F.min("no").alias("match_no")).select("match_no", F.col("probe_no").alias("no"))
