@@ -1,9 +1,9 @@
 """Problem 7: new batches against all history, by a segment index for edit distance.
 
-A near copy of a text of n words has at most n // 9 of its words replaced. Of the text's segments of four words, which have fixed places,
-n // 9 + 1 are stored with their positions: one of them is left whole in the near copy, and is found when all the batch text's substrings of four words
-are looked up. Which segments are stored is free; those with the rarest words are, so that phrases that many texts share are hardly ever looked up.
-Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; what remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
+A near copy of a text of n words has at most n // 9 of its words replaced. A text is stored as its segments of seven words (shorter ones in short texts) with
+their positions, of which there are more than that: those that no edit falls on are found when all the batch text's substrings of seven words are
+looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; a pair needs as many hits as
+the edits must leave, but never more than two. What remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
 as another table; what is in the index is never worked out again, and joins read it in the buckets in which it was written.
 """
 
@@ -15,12 +15,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint_dir, smallest, stored
-from lodestone.llm.language import LONGEST
-from lodestone.llm.wordsets import PER_SEGMENT, common_words, may_be_near, near_verified, with_segments, with_windows
-
-#: Texts from which it is estimated how frequent words are, at most, when the index is begun.
-FREQUENCY_ROWS = 2000
+from lodestone.llm.common import checkpoint_dir, later_deliveries, stored
+from lodestone.llm.wordsets import PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_segments, with_windows
 
 
 class SegmentIndex:
@@ -30,7 +26,6 @@ class SegmentIndex:
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.tables: list[str] = []
-        self.common = None
 
     def _keys(self, df: DataFrame, keys: list[Column]) -> DataFrame:
         kinds = F.array(*[F.when(c.isNotNull(), F.xxhash64(F.lit(f"key {i}"), c)) for i, c in enumerate(keys)])
@@ -38,14 +33,12 @@ class SegmentIndex:
 
     def append(self, df: DataFrame, keys: list[Column], text: str = "text") -> None:
         """df has `no`, the text and the columns of which keys are made. Null keys and texts without words make no entry."""
-        if self.common is None:
-            self.common = common_words([r[0] for r in smallest(df.select("no", F.col(text).alias("t")).where(f"length(t) <= {LONGEST}"), "no", FREQUENCY_ROWS).select("t").collect()])
-        seg = stored(with_segments(df.select("no", F.col(text).alias("text")), self.common), "segments")
+        seg = stored(with_segments(df.select("no", F.col(text).alias("text"))), "segments")
         alone = self._keys(df, keys).unionByName(seg.select(F.xxhash64(F.lit("words"), "multiset", "n").alias("k"), "no"))
         alone = alone.groupBy("k").agg(F.min("no").alias("no")).selectExpr("k", "no", "0 as n", "0 as at", "0L as bits")
-        # of texts with the same words in the same order, the first stands for all
-        same = ["multiset", "n", "segment"]
-        one = seg.groupBy(*same).agg(F.min("no").alias("no"), F.first("at").alias("at"), F.first("bits").alias("bits"))
+        # of texts with the same words in the same order the first stands for all; only the later ones' numbers travel
+        words = F.concat_ws(" ", "multiset", "n", F.xxhash64("segment"))
+        one = seg.join(stored(later_deliveries(seg, words, "no"), "later"), "no", "left_anti")
         parts = one.select(F.explode(F.arrays_zip("segment", "at")).alias("s"), "no", "n", "bits").select(F.col("s.segment").alias("k"), "no", "n", "s.at", "bits")
         name = f"lodestone_index_{uuid.uuid4().hex}"
         (alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd")
@@ -67,7 +60,11 @@ class SegmentIndex:
         parts = [first, functools.reduce(DataFrame.unionByName, later)] if later else [first]
         hits = [x.join(probes, "k").where("no < p_no").where(near | F.expr("n = 0 and p_n = 0")) for x in parts]
         hit = functools.reduce(DataFrame.unionByName, hits)
-        return hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure")).select(F.col("p_no").alias("probe_no"), "no", "sure")
+        # hit segments as bits; seven words and at most 63 segments apart they have bits of their own
+        which = F.expr(f"if(n = 0, 0L, shiftleft(1L, (at div {SEGMENT}) % 63))")
+        g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.bit_count(F.bit_or(which)).alias("hits"))
+        need = F.expr(f"if(n < 28, 1, least(2, n div {SEGMENT} - n div {PER_SEGMENT}))")
+        return g.where(F.col("sure") | (F.col("hits") >= need)).select(F.col("p_no").alias("probe_no"), "no", "sure")
 
     def drop(self) -> None:
         for name in self.tables:

@@ -10,6 +10,7 @@ their intersection.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from lodestone.llm.confusables import canonical
 WORD = regex.compile(r"\w+")
 #: rows x bands of the MinHash signature: at similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^24 = 0.0007.
 ROWS, BANDS = 6, 24
-#: Words of a segment; a segment index takes one more of a text's segments than words may be replaced in a near copy: of n words at most n // 9.
-SEGMENT, PER_SEGMENT = 4, 9
+#: Words of a segment; in a near copy at most one word of so many is replaced.
+SEGMENT, PER_SEGMENT = 7, 9
 
 _MEMO: dict[str, int] = {}
 _HASHES = np.zeros(1024, np.uint64)
@@ -166,48 +167,43 @@ def _window_hash(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
     return mix(out ^ length.astype(np.uint64)).view(np.int64)
 
 
-def common_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and numbers of the words of some texts: what is known of how frequent words are."""
-    return np.unique(hashed(texts)[0], return_counts=True)
+def segments_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number and length of the segments of texts of n words, which lie side by side: seven words each, in texts of less than 28 words so long
+    that there is one more than words may be replaced."""
+    n = np.asarray(n)
+    g = np.where(n < 28, n // PER_SEGMENT + 1, n // SEGMENT)
+    return g, np.where(n < 28, n // g, SEGMENT)
 
 
-def _segments(s: Sketch, common: tuple[np.ndarray, np.ndarray]) -> list[pa.Array]:
-    """Of a text's segments of SEGMENT words, side by side, the n // 9 + 1 whose words are rarest."""
-    size = np.minimum(s.n, SEGMENT)
-    g, keep = s.n // size, s.n // PER_SEGMENT + 1
+def _segments(s: Sketch) -> list[pa.Array]:
+    g, size = segments_of(s.n)
     doc = np.repeat(np.arange(len(g)), g)
     lo = (np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)) * size[doc]
-    words, count = common
-    at = np.minimum(np.searchsorted(words, s.h), max(len(words) - 1, 0))
-    seen = np.where(words[at] == s.h, count[at], 0) if len(words) else np.zeros(len(s.h))
-    total = np.concatenate([[0], np.cumsum(np.log1p(seen))])
-    first = s.starts[doc] + lo
-    score = total[first + size[doc]] - total[first]
-    order = np.lexsort((lo, score, doc))
-    rank = np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)
-    pick = np.sort(order[rank < keep[doc]])
-    doc, lo = doc[pick], lo[pick]
-    number = np.bincount(doc, minlength=len(g))
-    return [_lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), number, pa.int64()), _lists(lo.astype(np.int32), number, pa.int32())]
-
-
-def with_segments(df: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Adds n, bits, multiset, segment (array of long: hashes of n // 9 + 1 segments) and at (their positions). Which segments are taken, by what is known of
-    the words' frequency, changes how many rows meet in a lookup, not what is found."""
-    return _mapped(df, "segment array<bigint>, at array<int>", lambda s: _segments(s, common))
+    return [_lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
+
+
+def with_segments(df: DataFrame) -> DataFrame:
+    """Adds n, bits, multiset, segment (array of long: hashes of the segments) and at (their positions)."""
+    return _mapped(df, "segment array<bigint>, at array<int>", _segments)
+
+
+@functools.lru_cache(10_000)
+def _window_lengths(n: int) -> list[int]:
+    """The lengths that segments have in texts whose number of words lets them be near copies of a text of n words."""
+    return sorted({int(x) for x in segments_of(np.arange(-(-4 * n // 5), 5 * n // 4 + 1))[1] if 0 < x <= n})
 
 
 def _windows(s: Sketch) -> list[pa.Array]:
-    size = np.minimum(s.n, SEGMENT)
-    g = s.n - size + 1
-    doc = np.repeat(np.arange(len(g)), g)
-    lo = np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)
-    return [_lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
+    doc, size = (np.array(x, np.int64) for x in zip(*[(d, ln) for d, n in enumerate(s.n.tolist()) for ln in _window_lengths(n)], strict=True))
+    g = s.n[doc] - size + 1
+    of = np.repeat(np.arange(len(g)), g)
+    lo = np.arange(len(of)) - np.repeat(np.cumsum(g) - g, g)
+    counts = np.bincount(doc[of], minlength=len(s.n))
+    return [_lists(_window_hash(s.h, s.starts[doc[of]] + lo, size[of]), counts, pa.int64()), _lists(lo.astype(np.int32), counts, pa.int32())]
 
 
 def with_windows(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset, segment and at of all substrings of words that may equal a segment of a near copy. (A text of fewer words than
-    a segment has is near to none but those of the same words.)"""
+    """Adds n, bits, multiset, segment and at of all substrings of words that may equal a segment of a near copy."""
     return _mapped(df, "segment array<bigint>, at array<int>", _windows)
 
 
