@@ -68,8 +68,10 @@ def rake(tokens: dict[Cell, float], shares: dict[str, float], repeats: dict[str,
 def mixed(docs: DataFrame, shares: dict[str, float], repeats: dict[str, int], total: float | None = None) -> DataFrame:
     """docs (item, source, language, topic, tokens) of the listed sources with `weight` and `uses`.
 
-    A document is used as often as its cell's weight says: the whole part for certain, the rest by systematic sampling along the source's documents
-    in the order of a hash, so that a source's number of uses is met to one. Cells (sources x languages x topics) are read to the driver, documents aren't.
+    A document is used as often as its cell's weight says: the whole part for certain. Whether once more is drawn with the rest as probability: first for documents
+    of at least a fiftieth of what their source still needs, each by its own hash; then, by order sampling, the others of the source are taken in the order
+    of their hash over their odds until the need is met. A source's tokens are thus met to about half a document's. Cells (sources x languages x topics)
+    are read to the driver, documents aren't. Documents without tokens are never used.
     """
     spark = docs.sparkSession
     listed = sorted(shares)
@@ -79,15 +81,22 @@ def mixed(docs: DataFrame, shares: dict[str, float], repeats: dict[str, int], to
     tokens = {tuple(r[x] for x in names): float(r["n"]) for r in d.groupBy(*names).agg(F.sum("tokens").alias("n")).collect()}
     weight, _ = rake(tokens, shares, repeats, total)
     cells = spark.createDataFrame([(*c, float(w)) for c, w in weight.items()], "source string, language string, topic string, weight double")
-    x = d.join(F.broadcast(cells), names, "left").withColumn("weight", F.round(F.coalesce("weight", F.lit(0.0)), 9))
-    x = x.withColumn("h", F.xxhash64(F.lit("mix"), "item")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int")).withColumn("part", F.col("weight") - F.floor("weight"))
-    x = stored(x, "weighted")
-    sums = x.groupBy("source", "bucket").agg(F.sum("part").alias("n"))
+    x = d.join(F.broadcast(cells), names, "left").withColumn("weight", F.round(F.when(F.col("tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0), 9))
+    u = (F.xxhash64(F.lit("mix"), "item").cast("double") / 2.0**64 + 0.5).alias("u")
+    x = stored(x.select("*", u, (F.col("weight") - F.floor("weight")).alias("part")), "weighted")
+    need = x.groupBy("source").agg(F.sum(F.col("part") * F.col("tokens")).alias("need"))
+    x = x.join(F.broadcast(need), "source").withColumn("large", F.col("tokens") >= 0.02 * F.col("need"))
+    got = x.where("large and u < part").groupBy("source").agg(F.sum("tokens").alias("got"))
+    odds = F.col("u") / (1 - F.col("u")) * (1 - F.col("part")) / F.col("part")
+    small = x.where("part > 0 and not large").withColumn("place", odds / (1 + odds)).withColumn("bucket", F.floor(F.col("place") * BUCKETS).cast("int"))
+    sums = small.groupBy("source", "bucket").agg(F.sum("tokens").alias("n"))
     start = sums.select("source", "bucket", (F.sum("n").over(W.partitionBy("source").orderBy("bucket")) - F.col("n")).alias("start"))
-    run = F.sum("part").over(W.partitionBy("source", "bucket").orderBy("h", "item").rowsBetween(W.unboundedPreceding, 0))
-    x = x.withColumn("run", run).join(start, ["source", "bucket"])
-    end, begin = F.floor(F.round(F.col("start") + F.col("run"), 6) + 0.5), F.floor(F.round(F.col("start") + F.col("run") - F.col("part"), 6) + 0.5)
-    return x.select("item", *names, "tokens", "weight", (F.floor("weight") + end - begin).cast("int").alias("uses"))
+    run = F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("place", "item").rowsBetween(W.unboundedPreceding, 0))
+    small = small.withColumn("run", run).join(start, ["source", "bucket"]).join(F.broadcast(got), "source", "left")
+    fits = F.col("start") + F.col("run") - F.col("tokens") / 2 <= F.col("need") - F.coalesce("got", F.lit(0))
+    more = small.select("item", *names, "tokens", "weight", fits.alias("once_more")).unionByName(
+        x.where("part = 0 or large").select("item", *names, "tokens", "weight", (F.col("large") & (F.col("u") < F.col("part"))).alias("once_more")))
+    return more.select("item", *names, "tokens", "weight", (F.floor("weight") + F.col("once_more").cast("int")).cast("int").alias("uses"))
 
 
 def share_report(uses: DataFrame, targets: DataFrame) -> DataFrame:

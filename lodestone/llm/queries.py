@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lodestone.llm import confusables, consensus, grouping, history, language, mixing, overlap, packing, pairs, subjects, tokens
-from lodestone.llm.common import hash_key, model_key, present, records, spread, stored, table
+from lodestone.llm.common import EMPTY_HASH, NO_VALUE, hash_key, model_key, present, records, spread, stored, table
 
 
 def samples(spark: SparkSession, d: str) -> DataFrame:
@@ -179,4 +179,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    gone = ", ".join("'" + x.replace("'", "''") + "'" for x in NO_VALUE)
+    clean = lambda c: f"lower(trim({c}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)))"
+    known = lambda c: f"case when {clean(c)} in ({gone}) then null else {clean(c)} end"
+    family = f"regexp_replace({known('family_sha256')}, '^sha-?256\\s*[:=]\\s*', '')"
+    return {
+        # components as all that can be reached, which only small components keep cheap
+        "p4_found": f"""with recursive r as (select * from attack_samples where id is null or sample_no in (select min(sample_no) from attack_samples group by {clean("id")})),
+            f as (select sample_no as n, {family} as f, {known("contributor")} as c, {known("source_ref")} as s from r),
+            k as (select n, 'f' || f as k from f where f is not null and f <> '{EMPTY_HASH}' and not regexp_matches(f, '^0+$') union all select n, 'c' || c from f where c is not null union all select n, 's' || s from f where s is not null),
+            m as (select k, min(n) as m from k group by k having count(*) > 1), h as (select n, m from k join m using (k) where n <> m), e as (select n as a, m as b from h union select m, n from h),
+            c(n, m) as (select distinct a, a from e union select e.b, c.m from c join e on e.a = c.n)
+            select n as sample_no, min(m) as group_no from c group by n""",
+    }
