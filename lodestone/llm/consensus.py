@@ -56,7 +56,7 @@ class Community:
         self.workers, self.classes, self.types, self.strength = workers, classes, types, strength
         n, k = len(workers), len(classes)
         # types start out from reliable to unreliable
-        right = np.linspace(0.9, 1 / k + 0.1, types)
+        right = np.linspace(0.9, 1 / max(k, 1) + 0.1, types)
         self.shared = np.stack([np.where(np.eye(k, dtype=bool), r, (1 - r) / max(k - 1, 1)) for r in right]) * 20
         self.resp = np.full((n, types), 1 / types)
         self.kappa = np.ones(k)
