@@ -44,7 +44,7 @@ _SCRIPTS = [LATIN, *OTHER]
 _SCRIPT_RE = [(s, regex.compile(rf"\p{{Script={s}}}")) for s in _SCRIPTS]
 # the blocks of the scripts above
 _FOREIGN = re.compile("[\u0370-\u03ff\u0400-\u058f\u13a0-\u13ff\u1c80-\u1c8f\u1f00-\u1fff\u2de0-\u2dff\ua640-\ua69f\uab70-\uabbf]")
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+_TOKEN = re.compile(r"(?:[^\W\d_]|[\u0300-\u036f])+")
 _SETS: dict[str, frozenset] = {}
 
 

@@ -1,9 +1,9 @@
 """Problem 7: new batches against all history, by a segment index for edit distance.
 
 A near copy of a text of n words has at most n // 9 of its words replaced. A text is stored as its segments of seven words (shorter ones in short texts) with
-their positions, of which there are more than that: those that no edit falls on are found when all the batch text's substrings of seven words are
-looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; a pair needs as many hits as
-the edits must leave, but never more than two. What remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
+their positions, two more than that: those that no edit falls on are found when all the batch text's substrings of seven words are
+looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; a pair needs two hits (one where
+the text is short). What remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
 as another table; what is in the index is never worked out again, and joins read it in the buckets in which it was written.
 """
 
@@ -63,7 +63,7 @@ class SegmentIndex:
         # hit segments as bits; seven words and at most 63 segments apart they have bits of their own
         which = F.expr(f"if(n = 0, 0L, shiftleft(1L, (at div {SEGMENT}) % 63))")
         g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.bit_count(F.bit_or(which)).alias("hits"))
-        need = F.expr(f"if(n < 28, 1, least(2, n div {SEGMENT} - n div {PER_SEGMENT}))")
+        need = F.expr(f"if(n < 28 or n div {SEGMENT} - n div {PER_SEGMENT} < 2, 1, 2)")
         return g.where(F.col("sure") | (F.col("hits") >= need)).select(F.col("p_no").alias("probe_no"), "no", "sure")
 
     def drop(self) -> None:

@@ -1,6 +1,6 @@
 """Texts as sequences and multisets of words: sketches, MinHash bands and segments, computed for a whole Arrow batch at once.
 
-Words are runs of letters, digits and underscores of the consistent form (see confusables) in lower case, so case and punctuation are ignored. A text
+Words are runs of letters (with their marks), digits and underscores of the consistent form (see confusables) in lower case, so case and punctuation are ignored. A text
 without a word (null, empty, punctuation only) has no sketch and is nearly the same as no other text.
 
 Two texts of n and m words with o words in common, counted with repeats, are near copies if o / (n + m - o) >= 4/5, that is 9 o >= 4 (n + m).
@@ -11,18 +11,18 @@ their intersection.
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.confusables import canonical
 
-WORD = regex.compile(r"\w+")
+WORD = re.compile(r"[\w\u0300-\u036f]+")
 #: rows x bands of the MinHash signature: at similarity 0.8 a pair shares no band with probability (1 - 0.8^6)^24 = 0.0007.
 ROWS, BANDS = 6, 24
 #: Words of a segment; in a near copy at most one word of so many is replaced.
@@ -54,14 +54,12 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     for i, t in enumerate(texts):
         w = words(t)
         counts[i] = len(w)
-        for x in w:
-            k = _MEMO.get(x)
-            if k is None:
-                k = _MEMO[x] = len(_MEMO)
-                if k >= len(_HASHES):
-                    _HASHES = np.concatenate([_HASHES, np.zeros_like(_HASHES)])
-                _HASHES[k] = xxhash.xxh3_64_intdigest(x)
-            ids.append(k)
+        for x in set(w).difference(_MEMO):
+            k = _MEMO[x] = len(_MEMO)
+            if k >= len(_HASHES):
+                _HASHES = np.concatenate([_HASHES, np.zeros_like(_HASHES)])
+            _HASHES[k] = xxhash.xxh3_64_intdigest(x)
+        ids.extend(map(_MEMO.__getitem__, w))
     return _HASHES[np.array(ids, np.int64)], counts
 
 
@@ -168,17 +166,17 @@ def _window_hash(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 
 
 def segments_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number and length of the segments of texts of n words, which lie side by side: seven words each, in texts of less than 28 words so long
-    that there is one more than words may be replaced."""
+    """Number and length of the segments of texts of n words, which start at equal distances and don't overlap: two more than words may be replaced, of seven
+    words each; in short texts fewer or shorter ones, but always one more than words may be replaced."""
     n = np.asarray(n)
-    g = np.where(n < 28, n // PER_SEGMENT + 1, n // SEGMENT)
+    g = np.where(n < 28, n // PER_SEGMENT + 1, np.minimum(n // SEGMENT, n // PER_SEGMENT + 2))
     return g, np.where(n < 28, n // g, SEGMENT)
 
 
 def _segments(s: Sketch) -> list[pa.Array]:
     g, size = segments_of(s.n)
     doc = np.repeat(np.arange(len(g)), g)
-    lo = (np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)) * size[doc]
+    lo = (np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)) * s.n[doc] // g[doc]
     return [_lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
 
 
