@@ -42,4 +42,4 @@ def topic_drift(df: DataFrame, key: str, order: list[str], ident: str, text: str
     before = n.select(key, (F.col("_k") + 1).alias("_k"), "_w", F.col("c").alias("b"))
     dot = n.join(before, [key, "_k", "_w"]).groupBy(key, "_k").agg(F.sum(F.col("c") * F.col("b")).alias("d"))
     x = turn.select(key, "_k", ident).join(size, [key, "_k"], "left").join(size.select(key, (F.col("_k") + 1).alias("_k"), F.col("s").alias("t")), [key, "_k"], "left").join(dot, [key, "_k"], "left")
-    return x.select(ident, F.when(F.col("_k") > 1, F.round(1 - F.coalesce(F.col("d"), F.lit(0)) / F.nullif(F.col("s") * F.col("t"), F.lit(0.0)), 6)).alias("drift"))
+    return x.select(ident, F.when(F.col("_k") > 1, F.round(1 - F.coalesce(F.col("d"), F.lit(0)) / F.nullif(F.col("s") * F.col("t"), F.lit(0.0)), 6) + 0.0).alias("drift"))

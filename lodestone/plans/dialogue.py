@@ -55,7 +55,7 @@ def prior_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rf"""with {_T}, turn as (select attack_id, result_no, response_text, row_number() over (partition by attack_id order by ts_epoch, result_no) as k from v), w as (select attack_id, k, unnest(regexp_extract_all(lower(response_text), '[a-z0-9_'']+')) as w from turn), n as (select attack_id, k, w, count(*) as c from w group by 1, 2, 3),
     s as (select attack_id, k, sqrt(sum(c * c)) as s from n group by 1, 2), d as (select a.attack_id, a.k, sum(a.c * b.c) as d from n a join n b on a.attack_id = b.attack_id and a.k = b.k + 1 and a.w = b.w group by 1, 2)
-    select t.result_no, case when t.k > 1 then round(1 - coalesce(d.d, 0) / nullif(a.s * b.s, 0), 6)::double end as drift from turn t left join s a on a.attack_id = t.attack_id and a.k = t.k left join s b on b.attack_id = t.attack_id and b.k = t.k - 1 left join d on d.attack_id = t.attack_id and d.k = t.k""")
+    select t.result_no, case when t.k > 1 then (round(1 - coalesce(d.d, 0) / nullif(a.s * b.s, 0), 6) + 0.0)::double end as drift from turn t left join s a on a.attack_id = t.attack_id and a.k = t.k left join s b on b.attack_id = t.attack_id and b.k = t.k - 1 left join d on d.attack_id = t.attack_id and d.k = t.k""")
 def topic_drift(spark: SparkSession, d: str) -> DataFrame:
     return conversation.topic_drift(valid_rows(spark, d), "attack_id", ["ts_epoch", "result_no"], "result_no", "response_text")
 
