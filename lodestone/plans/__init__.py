@@ -6,7 +6,7 @@ import importlib
 
 from lodestone.plans.registry import QUERIES, SQL, Query
 
-MODULES = ["scans", "texts", "events", "trials", "vectors", "policy", "media", "streams", "dialogue"]
+MODULES = ["scans", "texts", "events", "trials", "vectors", "policy", "media", "streams", "dialogue", "campaign"]
 
 
 def _load() -> None:
