@@ -71,18 +71,19 @@ class SegmentIndex:
             self.spark.sql(f"drop table if exists {name}")
 
 
-def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Column], text: str = "text") -> DataFrame:
+def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Column], text: str = "text", together: int = 4) -> DataFrame:
     """match_no, no: each incoming row that repeats a row of the history or an incoming row with a smaller no, with the smallest no that it repeats.
 
     history, incoming: no, the text, the keys' columns; incoming also has `batch`. Batches are taken in order: each is appended to the index and looked up
-    in it. Candidates of all batches are verified together, reading the texts of the candidates only.
+    in it; of a backlog up to `together` batches are appended and looked up in one pass over the index, which gives the same, as rows match smaller numbers only. Candidates of all batches are verified together, reading the texts of the candidates only.
     """
     spark = history.sparkSession
     index = SegmentIndex(spark)
     index.append(history, keys, text)
     found = []
-    for b in [r[0] for r in incoming.select(batch).distinct().orderBy(batch).collect()]:
-        part = incoming.where(F.col(batch).eqNullSafe(F.lit(b)))
+    waiting = [r[0] for r in incoming.select(batch).distinct().orderBy(batch).collect()]
+    for i in range(0, len(waiting), together):
+        part = incoming.where(functools.reduce(Column.__or__, [F.col(batch).eqNullSafe(F.lit(b)) for b in waiting[i : i + together]]))
         index.append(part, keys, text)
         found.append(stored(index.probe(part, keys, text), "matches"))
     index.drop()
