@@ -19,12 +19,12 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0)), F.lit(0.0))
 
 
-def top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, least: float = -1.0, block: int = 256) -> DataFrame:
+def top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, least: float = -1.0, block: int = 2048, rows: int = 20_000) -> DataFrame:
     """query, neighbour, rank, score: the k rows of base most alike by cosine to each query (itself excluded), of equals the smaller key, at least `least` alike.
 
-    Exact, in blocks: queries are packed into matrices of `block` rows which meet every batch of base rows in one matrix product; each task keeps its own k
-    best of each query, and only these are shuffled. Query blocks are sent to all tasks one matrix at a time by a join on the block number's cross with the batches'
-    partitions, so neither side is collected.
+    Exact, in blocks: about `block` queries meet about `rows` rows of base in one matrix product, so a task's memory doesn't depend on the tables; it keeps
+    its own k best of each query, and only these are shuffled on. Each block of queries goes to each part of base and the other way round; neither side is
+    collected or broadcast.
     """
     import numpy as np
     import pandas as pd
@@ -32,7 +32,7 @@ def top_k(queries: DataFrame, base: DataFrame, key: str, vector: str, k: int, le
     kind = base.schema[key].dataType.simpleString()
     n = max(1, -(-queries.count() // block))
     q = queries.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("b"))
-    parts = max(1, base.sparkSession.sparkContext.defaultParallelism)
+    parts = max(1, -(-base.count() // rows))
     x = base.select(F.col(key).alias("q"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(parts)).cast("int").alias("p"))
     left = q.select("q", "v", "b", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
     right = x.select("q", "v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("b"), "p")
