@@ -7,6 +7,7 @@ joined back, so the theta join doesn't see the calls one by one.
 from __future__ import annotations
 
 import re
+import uuid
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -104,3 +105,25 @@ def sliced(spans: Column, start: Column, stop: Column) -> Column:
 def concatenated(a: Column, length: Column, b: Column) -> Column:
     """Spans of a text of this length followed by another."""
     return F.concat(a, F.transform(b, lambda x: F.struct((x["s"] + length).alias("s"), (x["e"] + length).alias("e"), x["labels"].alias("labels"))))
+
+
+def closure(edges: DataFrame, folder: str) -> DataFrame:
+    """a, b, depth: all that can be reached over edges (a, b), with the least number of steps. Rounds go on until one brings no new pair; each is written
+    to a table of its own under `folder`, so that no round works the earlier ones out again."""
+    spark, at = edges.sparkSession, f"{folder}/closure-{uuid.uuid4().hex}"
+    kind = edges.schema["a"].dataType.simpleString()
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{at}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{at}/{name}")
+
+    e = kept(edges.select("a", F.col("b").cast(kind).alias("b")).where("a is not null and b is not null").distinct(), "edges")
+    on = e.select(F.col("a").alias("b"), F.col("b").alias("c"))
+    out = new = e.withColumn("depth", F.lit(1))
+    depth = 1
+    while not new.isEmpty():
+        depth += 1
+        step = new.join(on, "b").select("a", F.col("c").alias("b")).distinct()
+        new = kept(step.join(out.select("a", "b"), ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)), f"round-{depth}")
+        out = out.unionByName(new)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import policy
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, shared_folder, table
 
 _RULES = [("block_large_purchase", 300, "deny", True, "purchase", 50.0), ("ask_errors", 200, "ask", True, "err*", 0.0), ("log_signups", 200, "log", True, "sign*", 5.0), ("old_rule", 900, "deny", False, "*", 0.0), ("allow_views", 10, "allow", True, "view", 0.0)]
 _SQL_RULES = "r(name, priority, action, enabled, shape, least) as (values " + ", ".join(f"('{a}', {b}, '{c}', {d}, '{e}', {f})" for a, b, c, d, e, f in _RULES) + ")"
@@ -85,6 +85,13 @@ def taint_closure(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query()
+def taint_closure_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As taint_closure, over all orders and as many steps as there are; recursive SQL over pairs with their depths doesn't end on cycles."""
+    e = table(spark, d, "orders").selectExpr("o_custkey as a", "o_orderkey % 97 as b")
+    return policy.closure(e, shared_folder(spark))
+
+
 @query()
 def benign_commands(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "evaluation_results").select("result_no", policy.benign_command(F.col("response_text")).alias("benign"))

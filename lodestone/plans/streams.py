@@ -2,35 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans.registry import query
+from lodestone.plans.registry import query, shared_folder
 from lodestone.streaming import detectors
 
 
-def _folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one where none is set."""
-    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{d}/lodestone" if d else tempfile.mkdtemp(prefix="lodestone-")
-
-
 @query()
 def stream_window_counts(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.finished(detectors.window_counts(detectors.event_stream(spark, d, "events")), _folder(spark))
+    return detectors.finished(detectors.window_counts(detectors.event_stream(spark, d, "events")), shared_folder(spark))
 
 
 @query()
 def stream_failure_runs(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.finished(detectors.failure_runs(detectors.event_stream(spark, d, "events")), _folder(spark))
+    return detectors.finished(detectors.failure_runs(detectors.event_stream(spark, d, "events")), shared_folder(spark))
 
 
 @query("select event_id, user_id, event_type, value from events")
 def stream_first_deliveries(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.finished(detectors.first_deliveries(detectors.event_stream(spark, d, "events")), _folder(spark)).select("event_id", "user_id", "event_type", "value")
+    return detectors.finished(detectors.first_deliveries(detectors.event_stream(spark, d, "events")), shared_folder(spark)).select("event_id", "user_id", "event_type", "value")
 
 
 @query()
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    return detectors.finished(detectors.session_counts(detectors.event_stream(spark, d, "events")), _folder(spark))
+    return detectors.finished(detectors.session_counts(detectors.event_stream(spark, d, "events")), shared_folder(spark))

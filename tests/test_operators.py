@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from lodestone.functions import stats
 from lodestone.functions import text as X
 from lodestone.operators import audit, decode, detect, media, policy, rules, sequence, trials, vectors
@@ -212,3 +213,28 @@ def test_stream_state_equals_batch(spark):
     batch = {(r["user_id"], r["end"]) for r in entry.queries()["event_failure_runs"](spark, "/root/testdata/sf0.001").collect()}
     stream = {(r["user_id"], r["event_id"]) for r in entry.queries()["stream_failure_runs"](spark, "/root/testdata/sf0.001").collect()}
     assert batch <= stream
+
+
+def test_closure_goes_on_to_the_end(spark, tmp_path):
+    edges = [(i, i + 1) for i in range(9)] + [(9, 4), (20, 20), (30, None), (5, 7), (5, 7)]
+    on = {}
+    for a, b in edges:
+        if b is not None:
+            on.setdefault(a, set()).add(b)
+    exact = {}
+    for a in on:
+        depth, new = 1, set(on[a])
+        while new:
+            exact |= {(a, b): depth for b in new}
+            new = {c for b in new for c in on.get(b, ()) if (a, c) not in exact}
+            depth += 1
+    got = policy.closure(spark.createDataFrame(edges, "a long, b long"), str(tmp_path)).collect()
+    assert {(r["a"], r["b"]): r["depth"] for r in got} == exact and len(got) == len(exact) and max(exact.values()) > 4
+
+
+def test_whole_closure_reads_every_order(spark):
+    d = "/root/testdata/sf0.001"
+    got = {(r["a"], r["b"]): r["depth"] for r in entry.queries()["taint_closure_whole"](spark, d).collect()}
+    orders = {(r[0], r[1] % 97) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey").collect()}
+    assert {k for k, n in got.items() if n == 1} == orders
+    assert {(a, c) for a, b in got for x, c in orders if x == b} <= set(got)
