@@ -1,9 +1,10 @@
-"""Problem 7: new batches against all history, by a segment index for edit distance.
+"""Problem 7: new batches against all history, by an index of segments and MinHash bands.
 
-A near copy of a text of n words has at most n // 9 of its words replaced. A text is stored as its segments of seven words (shorter ones in short texts) with
-their positions, two more than that: those that no edit falls on are found when all the batch text's substrings of seven words are
-looked up. Hits must agree in length and place as far as the number of edits allows, and pass a bound on unshared words; a pair needs two hits (one where
-the text is short). What remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
+A near copy shares four fifths of all words, however they are placed. A text is stored as its MinHash bands over words counted with repeats, as in problem 2,
+of which one shared band makes a candidate whatever the words' order, and as its segments of seven words (shorter ones in short texts) with their positions, which
+prove what the bands can't where words are replaced in place, at most one in nine: all the batch text's substrings of seven words are looked up. Segment hits
+must agree in length and place as far as the number of edits allows, and a pair needs two of them (one where the text is short). All candidates pass a bound on unshared words;
+what remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
 as another table; what is in the index is never worked out again, and joins read it in the buckets in which it was written.
 """
 
@@ -20,7 +21,7 @@ from lodestone.llm.wordsets import PER_SEGMENT, SEGMENT, may_be_near, near_verif
 
 
 class SegmentIndex:
-    """Entries (k, no, n, at, bits) in tables bucketed by k. n is 0 for entries that match by k alone; of those the smallest no is kept."""
+    """Entries (k, no, n, at, bits) in tables bucketed by k. n is 0 for entries that match by k alone; of those the smallest no is kept. at is -1 for bands."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark = spark
@@ -52,7 +53,7 @@ class SegmentIndex:
         alone = alone.selectExpr("k", "no as p_no", "0 as p_n", "0 as p_at", "0L as p_bits")
         sub = win.select(F.explode(F.arrays_zip("segment", "at")).alias("s"), "no", "n", "bits").select(F.col("s.segment").alias("k"), F.col("no").alias("p_no"), F.col("n").alias("p_n"), F.col("s.at").alias("p_at"), F.col("bits").alias("p_bits"))
         probes = alone.unionByName(sub).hint("shuffle_hash")
-        # the shift before the segment and that after it can't exceed the number of words by which near copies differ
+        # bands have no place: their -1 leaves the bound on the lengths. Of segments, the shift before the segment and that after it can't exceed the number of words by which near copies differ
         slack = f"(n + p_n) div {PER_SEGMENT}"
         near = F.expr(f"n > 0 and p_n > 0 and abs(at - p_at) <= {slack} and abs((n - at) - (p_n - p_at)) <= {slack}") & may_be_near("n", "p_n", "bits", "p_bits")
         # the first table, the history, is read in its buckets; the few later ones, of a batch each, together
@@ -61,10 +62,10 @@ class SegmentIndex:
         hits = [x.join(probes, "k").where("no < p_no").where(near | F.expr("n = 0 and p_n = 0")) for x in parts]
         hit = functools.reduce(DataFrame.unionByName, hits)
         # hit segments as bits; seven words and at most 63 segments apart they have bits of their own
-        which = F.expr(f"if(n = 0, 0L, shiftleft(1L, (at div {SEGMENT}) % 63))")
-        g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.bit_count(F.bit_or(which)).alias("hits"))
+        which = F.expr(f"if(n = 0 or at < 0, 0L, shiftleft(1L, (at div {SEGMENT}) % 63))")
+        g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.min("at").alias("at"), F.bit_count(F.bit_or(which)).alias("hits"))
         need = F.expr(f"if(n < 28 or n div {SEGMENT} - n div {PER_SEGMENT} < 2, 1, 2)")
-        return g.where(F.col("sure") | (F.col("hits") >= need)).select(F.col("p_no").alias("probe_no"), "no", "sure")
+        return g.where(F.col("sure") | (F.col("at") < 0) | (F.col("hits") >= need)).select(F.col("p_no").alias("probe_no"), "no", "sure")
 
     def drop(self) -> None:
         for name in self.tables:

@@ -166,10 +166,10 @@ def _window_hash(h: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.nda
 
 
 def segments_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number and length of the segments of texts of n words, which start at equal distances and don't overlap: two more than words may be replaced, of seven
-    words each; in short texts fewer or shorter ones, but always one more than words may be replaced."""
+    """Number and length of the segments of texts of n words, which start at equal distances and don't overlap: as many of seven words as there is room for;
+    in short texts fewer or shorter ones, but always one more than words may be replaced."""
     n = np.asarray(n)
-    g = np.where(n < 28, n // PER_SEGMENT + 1, np.minimum(n // SEGMENT, n // PER_SEGMENT + 2))
+    g = np.where(n < 28, n // PER_SEGMENT + 1, n // SEGMENT)
     return g, np.where(n < 28, n // g, SEGMENT)
 
 
@@ -180,9 +180,18 @@ def _segments(s: Sketch) -> list[pa.Array]:
     return [_lists(_window_hash(s.h, s.starts[doc] + lo, size[doc]), g, pa.int64()), _lists(lo.astype(np.int32), g, pa.int32())]
 
 
+def _with_bands(s: Sketch, found: list[pa.Array]) -> list[pa.Array]:
+    """Segments or windows, followed by the text's MinHash bands at place -1."""
+    segment, at = (x.flatten().to_numpy() for x in found)
+    counts = np.diff(found[0].offsets.to_numpy())
+    band = mix(bands(s.key, s.starts).view(np.uint32).astype(np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) << U(40))).view(np.int64)
+    end = np.repeat(np.cumsum(counts), BANDS)
+    return [_lists(np.insert(segment, end, band.ravel()), counts + BANDS, pa.int64()), _lists(np.insert(at, end, np.int32(-1)), counts + BANDS, pa.int32())]
+
+
 def with_segments(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset, segment (array of long: hashes of the segments) and at (their positions)."""
-    return _mapped(df, "segment array<bigint>, at array<int>", _segments)
+    """Adds n, bits, multiset, segment (array of long: hashes of the segments, then of the MinHash bands) and at (their positions, -1 for bands)."""
+    return _mapped(df, "segment array<bigint>, at array<int>", lambda s: _with_bands(s, _segments(s)))
 
 
 @functools.lru_cache(10_000)
@@ -201,8 +210,8 @@ def _windows(s: Sketch) -> list[pa.Array]:
 
 
 def with_windows(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset, segment and at of all substrings of words that may equal a segment of a near copy."""
-    return _mapped(df, "segment array<bigint>, at array<int>", _windows)
+    """Adds n, bits, multiset, segment and at of all substrings of words that may equal a segment of a near copy, and of the MinHash bands."""
+    return _mapped(df, "segment array<bigint>, at array<int>", lambda s: _with_bands(s, _windows(s)))
 
 
 def may_be_near(n: str, m: str, bits: str, other: str) -> Column:

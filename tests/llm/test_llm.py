@@ -244,6 +244,31 @@ def test_history_is_brute_force(spark):
     assert history.repeats(h, inc.limit(0), "batch", [F.col("id")]).count() == 0
 
 
+def test_history_finds_scattered_and_reordered_copies(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7))
+    old, new = [], []
+    for i in range(120):
+        n = (40, 80, 120)[i % 3]
+        w = [word() for _ in range(n)]
+        old.append((i, " ".join(w)))
+        if i % 4 == 0:  # deletions, n / 5
+            gone = set(rng.sample(range(n), n // 5))
+            x = [y for j, y in enumerate(w) if j not in gone]
+        elif i % 4 == 1:  # insertions, n / 4
+            x = list(w)
+            for _ in range(n // 4):
+                x.insert(rng.randrange(len(x) + 1), word())
+        elif i % 4 == 2:  # halves swapped and one word replaced
+            x = w[n // 2 :] + w[: n // 2]
+            x[3] = word()
+        else:
+            x = rng.sample(w, n)[1:]
+        new.append((1000 + i, " ".join(x), 0))
+    found = history.repeats(spark.createDataFrame(old, "no long, text string"), spark.createDataFrame(new, "no long, text string, batch int"), "batch", [])
+    assert {r["no"]: r["match_no"] for r in found.collect()} == {1000 + i: i for i in range(120)}
+
+
 # 8
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
