@@ -229,9 +229,10 @@ def templates(op: DataFrame, usual: int, share: float = SHORT_SHARE, prompts: in
 
 
 def usual_length(op: DataFrame) -> int:
-    """The number of sentences that nine tenths of all responses reach."""
-    n = op.select(F.percentile_approx("n_sentences", 0.1, 10000)).first()[0]
-    return int(n or 0)
+    """The number of sentences that most openings' responses have, each opening counted once with its median: however many rows refusals make, they share few openings."""
+    own = op.groupBy("opening").agg(F.percentile_approx("n_sentences", 0.5, 10000).alias("n"))
+    n = own.groupBy("n").agg(F.count("*").alias("c")).orderBy(F.desc("c"), "n").first()
+    return int(n["n"]) if n else 0
 
 
 @dataclass

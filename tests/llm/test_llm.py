@@ -222,6 +222,16 @@ def test_openings_cluster_to_their_smallest(spark):
     assert got[base + " today"] == got[base] == base and len(got) == 4
 
 
+def test_refusals_may_be_a_third_of_all_rows(spark):
+    # 60 answers of three or four sentences, each with an opening of its own; 40 refusals with two openings
+    own = [(i, f"answer {i} begins", 3 + i % 2, i) for i in range(60)]
+    no = [(100 + i, ("i must decline this", "no i will not")[i % 2], 1 + i % 2, i) for i in range(40)]
+    op = spark.createDataFrame(own + no, "result_no long, opening string, n_sentences int, prompt long")
+    usual = pairs.usual_length(op)
+    assert usual == 3
+    assert {r["opening"] for r in pairs.templates(op, usual).collect()} == {"i must decline this", "no i will not"}
+
+
 # 7
 def test_history_is_brute_force(spark):
     t = [x for x in corpus(4, 30)]
