@@ -1,7 +1,6 @@
 """Problem 6: defective prompt and response pairs.
 
-Openings of responses (their first words, names and numbers masked) are clustered by MinHash over shingles, verified against the bucket's
-representative. A cluster that recurs across unrelated prompts and whose responses stop short, where responses of the table usually go on, is a
+Openings of responses (their first words, names and numbers masked) are clustered by the words they share, all links of four fifths being found. A cluster that recurs across unrelated prompts and whose responses stop short, where responses of the table usually go on, is a
 refusal's template. A word model of such responses against those that go on carries this over to refusals whose template is rare. Whether a response
 broke off is judged by how often complete sentences end, and how often they go on, after its last words; copies by the share of
 its word triples that are the prompt's; its language by the n-gram mixture of problem 5.
@@ -22,11 +21,12 @@ from pyspark.sql import types as T
 
 from lodestone.llm.common import smallest, stored
 from lodestone.llm.confusables import canonical
+from lodestone.llm.grouping import connected
 from lodestone.llm.language import LANGUAGES, LONGEST, LanguageModel, split_sentences
 from lodestone.llm.wordsets import mix
 
-#: Words of an opening, words of a shingle, similarity of a cluster's openings.
-OPENING, SHINGLE, SIMILAR = 8, 5, 0.8
+#: Words of an opening, similarity of a cluster's openings: one of ten words may differ.
+OPENING, SIMILAR = 10, 0.8
 #: A template recurs with at least so many different prompts; so large a share of its responses are short.
 PROMPTS, SHORT_SHARE = 3, 0.9
 #: Responses of each kind to which the word models are fitted at most, those whose keys have the smallest hashes.
@@ -184,40 +184,41 @@ def openings(df: DataFrame, key: str, response: str) -> DataFrame:
     return df.select(key, parts(response).alias("x"), "prompt").where("x.opening is not null").select(key, "x.opening", "x.n_sentences", "prompt")
 
 
-_MULT = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, 32, dtype=np.uint64) | np.uint64(1)
-
-
-def _shingles(text: str) -> list[int]:
-    w = text.split()
-    return sorted({xxhash.xxh3_64_intdigest(" ".join(w[i : i + SHINGLE])) for i in range(max(1, len(w) - SHINGLE + 1))})
+def _links(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of an opening of up to OPENING words, and whether it may be the bucket's centre. Buckets are hashes of its words (counted with repeats, in any order), of all but
+    one and of all but two; openings as similar as SIMILAR differ by no more. A bucket of s words holds those of s + 1 that lack one: they equal its own opening from
+    s = 4 on, and each other from s = 8 on. Those of s + 2 that lack two equal its own opening from s = 8 on."""
+    w, seen = text.split(), {}
+    h = np.zeros(len(w), np.uint64)
+    for i, x in enumerate(w):
+        seen[x] = seen.get(x, 0) + 1
+        h[i] = xxhash.xxh3_64_intdigest(f"{x} {seen[x]}")
+    n, all_ = len(w), np.add.reduce(mix(h))
+    one = all_ - mix(h) if n > 4 else h[:0]
+    i, j = np.triu_indices(n if n > 9 else 0, 1)
+    two = mix(one[i] - mix(h)[j]) if n > 9 else h[:0]
+    own = np.array([all_], np.uint64)
+    k = np.concatenate([own, one, mix(own) if n > 7 else own[:0], two])
+    return k.view(np.int64), np.concatenate([np.ones(1, bool), np.full(len(one), n > 8), np.ones(int(n > 7), bool), np.zeros(len(two), bool)])
 
 
 def clusters(op: DataFrame) -> DataFrame:
-    """opening, cluster: different openings are put into MinHash buckets (8 bands of 4 rows), and each is compared with the
-    bucket's smallest only, so a bucket costs as many comparisons as it has openings; an opening joins the smallest one that it equals to 0.8."""
-
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def signature(texts: pa.Array) -> pa.Array:
-        out = []
-        for t in texts.to_pylist():
-            s = np.array(_shingles(t), np.uint64)
-            m = mix(s[:, None] * _MULT[None, :]).min(0).reshape(8, 4)
-            out.append(mix(np.bitwise_xor.reduce(m * np.array([1, 3, 5, 7], np.uint64), 1) + np.arange(8, dtype=np.uint64)).view(np.int64).tolist())
-        return pa.array(out, pa.list_(pa.int64()))
-
-    @F.arrow_udf(T.BooleanType())
-    def near(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            s, t = set(_shingles(x)), set(_shingles(y))
-            out.append(len(s & t) >= SIMILAR * len(s | t))
-        return pa.array(out)
-
-    banded = stored(op.select("opening").distinct().select("opening", F.explode(signature("opening")).alias("band")), "openings")
-    first = banded.groupBy("band").agg(F.min("opening").alias("cluster"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pair = banded.join(first, "band").where("opening <> cluster").select("opening", "cluster").distinct()
-    best = pair.where(near("opening", "cluster")).groupBy("opening").agg(F.min("cluster").alias("cluster"))
-    return op.select("opening").distinct().join(best, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+    """opening, cluster: the openings that links of at least SIMILAR connect, named by their smallest. All links are found by way of buckets (see _links), in each of which
+    an opening is tied to the smallest centre only, so a bucket costs as many rows as it has openings."""
+
+    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("centre", T.BooleanType())])))
+    def buckets(texts: pa.Array) -> pa.Array:
+        found = [_links(t) for t in texts.to_pylist()]
+        flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(([k for k, _ in found], [c for _, c in found]), (np.int64, bool), strict=True)]
+        ends = np.cumsum([0, *(len(k) for k, _ in found)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["k", "centre"]))
+
+    own = stored(op.select("opening").distinct(), "openings")
+    part = stored(own.select("opening", F.inline(buckets("opening"))), "buckets")
+    first = part.groupBy("k").agg(F.min(F.when(F.col("centre"), F.col("opening"))).alias("v"), F.count("*").alias("n")).where("n > 1 and v is not null").drop("n")
+    edges = part.join(first, "k").where("opening <> v").select(F.col("opening").alias("u"), "v").distinct()
+    found = connected(edges).select(F.col("node").alias("opening"), F.col("component").alias("cluster"))
+    return own.join(found, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
 
 
 def templates(op: DataFrame, usual: int, share: float = SHORT_SHARE, prompts: int = PROMPTS) -> DataFrame:

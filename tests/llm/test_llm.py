@@ -232,6 +232,34 @@ def test_refusals_may_be_a_third_of_all_rows(spark):
     assert {r["opening"] for r in pairs.templates(op, usual).collect()} == {"i must decline this", "no i will not"}
 
 
+def test_clusters_of_what_opening_gives_are_brute_force(spark):
+    rng = random.Random(3)
+    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=14) for _ in range(40)]
+    said = []
+    for w in base:
+        for _ in range(6):
+            x = list(w)[: rng.choice([4, 5, 8, 9, 10, 14])]
+            for _ in range(rng.randrange(3)):
+                rng.choice([lambda: x.pop(rng.randrange(len(x))), lambda: x.insert(rng.randrange(len(x)), rng.choice("äöüß")), lambda: x.__setitem__(rng.randrange(len(x)), rng.choice("äöüß"))])()
+            said.append(" ".join(x) + ".")
+    own = sorted({pairs.opening(x)[0] for x in said} - {""})
+    to = {x: x for x in own}
+
+    def top(x):
+        return x if to[x] == x else top(to[x])
+
+    for a, b in itertools.combinations(own, 2):
+        x, y = Counter(a.split()), Counter(b.split())
+        if 5 * (x & y).total() >= 4 * (x | y).total():
+            a, b = sorted((top(a), top(b)))
+            to[b] = a
+    got = {r["opening"]: r["cluster"] for r in pairs.clusters(spark.createDataFrame([(x,) for x in own], "opening string")).collect()}
+    assert got == {x: top(x) for x in own} and len(set(got.values())) < len(own)
+    a, b = (pairs.opening(f"I regret that {x} request is one that I will not help with.")[0] for x in ("this", "your"))
+    got = {r["opening"]: r["cluster"] for r in pairs.clusters(spark.createDataFrame([(a,), (b,)], "opening string")).collect()}
+    assert got == {a: a, b: a}
+
+
 # 7
 def test_history_is_brute_force(spark):
     t = [x for x in corpus(4, 30)]
