@@ -128,15 +128,19 @@ class EndModel:
     inner: dict[tuple, int] = field(default_factory=dict)
 
     @classmethod
-    def train(cls, parts: list[str]) -> EndModel:
+    def train(cls, parts: list[str], needed: frozenset | None = None) -> EndModel:
+        """needed: the keys to count, of which each comes with its shorter ends; all if None."""
         m = cls()
         for s in parts:
             w = ["^", "^", *masked(s)]
             for i in range(2, len(w)):
+                if needed is not None and (w[i],) not in needed:
+                    continue
                 into = m.ends if i == len(w) - 1 else m.inner
                 for n in (1, 2, 3):
                     k = tuple(w[i - n + 1 : i + 1])
-                    into[k] = into.get(k, 0) + 1
+                    if needed is None or k in needed:
+                        into[k] = into.get(k, 0) + 1
         return m
 
     def ended(self, sentence: str) -> bool:
@@ -150,8 +154,8 @@ class EndModel:
         return False
 
 
-def is_truncated(response: str, model: EndModel, error: str | None = None) -> bool:
-    """Whether the response breaks off: an open block or object, or a last sentence without its stop that isn't complete or to which the error tells that it was cut."""
+def last_open(response: str) -> bool | str:
+    """Whether the response breaks off, where marks tell; else its last sentence, which lacks its stop."""
     text = canonical(response).strip()
     body = _SIGNED.sub("", text).strip() if "\n" in text else text
     if body.count("```") % 2:
@@ -165,7 +169,13 @@ def is_truncated(response: str, model: EndModel, error: str | None = None) -> bo
     elif body[-1:] in ".!?" or _CLOSED.search(body[-8:]):
         return False
     own = split_sentences(_FENCE.sub("\n", body))
-    return bool(own) and (bool(_CUT.search(error or "")) or not model.ended(own[-1]))
+    return own[-1] if own else False
+
+
+def is_truncated(response: str, model: EndModel, error: str | None = None) -> bool:
+    """Whether the response breaks off: an open block or object, or a last sentence without its stop that isn't complete or to which the error tells that it was cut."""
+    last = last_open(response)
+    return last if isinstance(last, bool) else bool(_CUT.search(error or "")) or not model.ended(last)
 
 
 def opening(response: str) -> tuple[str, int]:
@@ -288,6 +298,34 @@ def asked(prompt: str | None) -> set[str]:
     return {lang for lang, r in _ASKED if r.search(text)} & set(LANGUAGES)
 
 
+def ends(df: DataFrame, response: str, counted: DataFrame) -> EndModel:
+    """How often sentences end and go on after the last words of df's responses without a stop, in all sentences of `counted` (t) but each text's last.
+    Only those last words and their counts leave the executors."""
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for r in b.column(0).to_pylist():
+                x = False if is_empty(r) else last_open(r)
+                if isinstance(x, str):
+                    w = ["^", "^", *masked(x)]
+                    found |= {" ".join(w[-n:]) for n in (1, 2, 3)}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
+
+    keys = df.select(response).mapInArrow(last, "k string").distinct().collect()
+    needed = df.sparkSession.sparkContext.broadcast(frozenset(tuple(r["k"].split(" ")) for r in keys))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            m = EndModel.train([s for t in b.column(0).to_pylist() for s in split_sentences(prose(t))[:-1] if _CLOSED.search(s.strip())], needed.value)
+            k = sorted(m.ends.keys() | m.inner.keys())
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in k], pa.string()), pa.array([m.ends.get(x, 0) for x in k], pa.int64()), pa.array([m.inner.get(x, 0) for x in k], pa.int64())], ["k", "e", "i"])
+
+    got = counted.select("t").mapInArrow(count, "k string, e long, i long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("i").alias("i")).collect()
+    own = [(tuple(r["k"].split(" ")), r["e"], r["i"]) for r in got]
+    return EndModel({k: e for k, e, _ in own if e}, {k: i for k, _, i in own if i})
+
+
 def fit(df: DataFrame, key: str, prompt: str, response: str, language: LanguageModel, rows: int = SAMPLE_ROWS) -> Judge:
     op = stored(openings(df.withColumn("prompt", F.xxhash64(prompt)), key, response), "responses")
     usual = usual_length(op)
@@ -299,9 +337,9 @@ def fit(df: DataFrame, key: str, prompt: str, response: str, language: LanguageM
         return [prose(r["t"]) for r in texts.join(F.broadcast(own), key, "left_semi").orderBy(key).collect()]
 
     yes = [s for t in sample(op.where(f"n_sentences < {usual}").join(known, "opening", "left_semi")) for s in split_sentences(t)]
-    rest = sample(op.where(f"n_sentences >= {usual}").join(known, "opening", "left_anti"))
-    no = [s for t in rest for s in split_sentences(t)]
-    end = EndModel.train([s for t in rest for s in split_sentences(t)[:-1] if _CLOSED.search(s.strip())])
+    whole = op.where(f"n_sentences >= {usual}").join(known, "opening", "left_anti")
+    no = [s for t in sample(whole) for s in split_sentences(t)]
+    end = ends(df, response, df.select(key, F.col(response).alias("t")).join(whole.select(key), key, "left_semi"))
     return Judge(language, WordModel.train(yes, no), end)
 
 

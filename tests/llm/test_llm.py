@@ -260,6 +260,18 @@ def test_clusters_of_what_opening_gives_are_brute_force(spark):
     assert got == {a: a, b: a}
 
 
+def test_ends_are_counted_over_all_responses(spark):
+    n = pairs.SAMPLE_ROWS + 2000
+    said = [f"Row {i} is about item{chr(97 + i % 26)} word{''.join(chr(97 + int(c)) for c in str(i))}. More of it follows here. That is all there is." for i in range(n)]
+    said.append("x " * 12_000 + "and so it ends with zebras. More of it follows here. That is all there is.")
+    last = [x.split(".")[0] for x in said[:: n // 40]] + ["It ends with zebras"]
+    df = spark.createDataFrame([(x,) for x in said + last], "t string").repartition(8)
+    m = pairs.ends(df, "t", df.where("t like '%.'"))
+    assert all(m.ended(x) for x in last) and not m.ended("More of it")
+    exact = pairs.EndModel.train([s for t in said for s in pairs.split_sentences(pairs.prose(t))[:-1]])
+    assert m.ends == {k: exact.ends[k] for k in m.ends} and m.inner == {k: exact.inner[k] for k in m.inner}
+
+
 # 7
 def test_history_is_brute_force(spark):
     t = [x for x in corpus(4, 30)]
