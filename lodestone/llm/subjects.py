@@ -1,7 +1,7 @@
 """Problem 10: subject areas of documents by interpolated n-gram language models.
 
 Each subject has a model of words and word pairs, interpolated with that of all text, which is also the background that it is compared with. The models
-are fitted to a bounded sample of documents, of which those that a reader labelled start them: sentences are then assigned to the models they gain by, and
+are fitted to a bounded sample of documents, then counted once more over all documents; of the sample those that a reader labelled start them: sentences are then assigned to the models they gain by, and
 the models fitted anew, so that wrong and missing labels and sentences on nothing don't spoil them. What occurs on every subject alike gains by none;
 the gain from which a word counts is calibrated for each subject by its share of all text. A paragraph deals with a subject if enough of its
 sentences gain most by it.
@@ -18,13 +18,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import present, smallest
+from lodestone.llm.common import present, smallest, spread
 from lodestone.llm.confusables import canonical
 from lodestone.llm.language import LONGEST, sentences
 from lodestone.llm.pairs import masked
 
 SIZE, PAIRS = 1 << 16, 1 << 18
-#: Labelled and other documents to which the models are fitted at most, those whose keys have the smallest hashes, of up to LONGEST characters.
+#: Labelled and other documents that start the models at most, those whose keys have the smallest hashes, of up to LONGEST characters; all documents are counted in the end.
 LABELLED, OTHERS = 4000, 4000
 #: A paragraph deals with a subject if it has at least SENTENCES sentences, of which as many are on it (one may go unrecognised where there are no more),
 #: and at least SHARE of those on any.
@@ -110,6 +110,14 @@ class SubjectModel:
         best = g.argmax(1)
         return np.where(g[np.arange(len(g)), best] >= GAIN, best, -1)
 
+    def settled(self, codes: tuple, para: np.ndarray) -> np.ndarray:
+        """Each sentence's subject, that of most of its paragraph (para: its number, from 0 on) where it has no gain; -1 for none."""
+        of = self.assigned(codes)
+        near = np.zeros((para[-1] + 1, len(self.subjects)))
+        np.add.at(near, (para[of >= 0], of[of >= 0]), 1)
+        top, n = near.argmax(1), near.max(1)
+        return np.where(of >= 0, of, np.where((n >= SENTENCES) & (n > 0.6 * np.bincount(para)), top, -1)[para])
+
     @staticmethod
     def train(docs: list[tuple[str, str | None, bool]], subjects: list[str], rounds: int = 6) -> SubjectModel:
         """docs: (text, subject as labelled, whether labelled at all). At first the sentences of labelled documents are on the document's subject; then
@@ -131,14 +139,7 @@ class SubjectModel:
         counted = np.array(known, bool)[doc_] if parts else np.zeros(0, bool)
         model = SubjectModel.fitted(of, counted, codes, subjects)
         for _ in range(rounds if parts and subjects else 0):
-            of = model.assigned(codes)
-            near = np.zeros((para_[-1] + 1, len(subjects)))
-            np.add.at(near, (para_[of >= 0], of[of >= 0]), 1)
-            top = near.argmax(1)
-            n = near.max(1)
-            main = np.where((n >= SENTENCES) & (n > 0.6 * np.bincount(para_)), top, -1)
-            of = np.where(of >= 0, of, main[para_])
-            model = SubjectModel.fitted(of, np.ones(len(parts), bool), codes, subjects)
+            model = SubjectModel.fitted(model.settled(codes, para_), np.ones(len(parts), bool), codes, subjects)
         return model
 
     def sentence_subjects(self, parts: list[str]) -> np.ndarray:
@@ -169,7 +170,37 @@ def fit(docs: DataFrame, labels: DataFrame, subjects: list[str], key: str = "doc
     yes = smallest(x.join(lab, key), key, LABELLED).collect()
     no = smallest(x.join(lab, key, "left_anti"), key, OTHERS).collect()
     yes, no = (sorted(y, key=lambda r: r[key]) for y in (yes, no))
-    return SubjectModel.train([(r["t"], r["l"], True) for r in yes] + [(r["t"], None, False) for r in no], subjects)
+    model = SubjectModel.train([(r["t"], r["l"], True) for r in yes] + [(r["t"], None, False) for r in no], subjects)
+    return counted(docs, text, model)
+
+
+def counted(docs: DataFrame, text: str, model: SubjectModel) -> SubjectModel:
+    """The model with the words and pairs of all documents and whole texts counted, each sentence on the subject that `model` gives it."""
+    k = len(model.subjects)
+    if not k:
+        return model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a row of words and pairs for each subject, and the last for sentences on none
+        total = np.zeros((k + 1) * (SIZE + PAIRS), np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                own = [p for t in whole.column(0).slice(at, 1000).to_pylist() for p in paragraphs(t)]
+                if own:
+                    codes = u, _, b, n = _codes([s for p in own for s in p])
+                    of = model.settled(codes, np.repeat(np.arange(len(own)), [len(p) for p in own]))
+                    row = np.repeat(np.where(of >= 0, of, k), n) * (SIZE + PAIRS)
+                    i, c = np.unique(np.concatenate([row + u, row + SIZE + b]), return_counts=True)
+                    total[i] += c
+        i = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(total[i], pa.int64())], ["i", "n"])
+
+    got = spread(docs.select(text)).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    total = np.zeros((k + 1) * (SIZE + PAIRS), np.int64)
+    total[got["i"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    total = total.reshape(k + 1, SIZE + PAIRS)
+    words, pairs = (x.astype(np.float32) for x in (total[:, :SIZE], total[:, SIZE:]))
+    return SubjectModel(model.subjects, words[:k], pairs[:k], total[:, :SIZE].sum(0).astype(np.float32), total[:, SIZE:].sum(0).astype(np.float32))
 
 
 def document_subjects(docs: DataFrame, key: str, text: str, model: SubjectModel) -> DataFrame:

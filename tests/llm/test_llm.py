@@ -392,6 +392,18 @@ def test_subjects_by_paragraph(spark):
     assert subjects.document_subjects(df, "doc_id", "text", subjects.fit(df.limit(0), lab.limit(0), ["law"])).count() == 0
 
 
+def test_subjects_count_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "LABELLED", 4)
+    monkeypatch.setattr(subjects, "OTHERS", 4)
+    docs = [(i, f"Whisk the eggs well. Bake the loaf slowly. Stir the pan {'abcdefghij'[i % 10]}.") for i in range(60)] + [(99, "Rare words are here. " * 1500), (100, ""), (101, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    lab = spark.createDataFrame([(i, "cooking") for i in range(30)], "doc_id long, subject string")
+    model = subjects.fit(df, lab, ["cooking", "law"])
+    u, _, b, _ = subjects._codes([s for _, t in docs for p in subjects.paragraphs(t) for s in p])
+    assert (model.all_words == np.bincount(u, minlength=subjects.SIZE)).all() and (model.all_pairs == np.bincount(b, minlength=subjects.PAIRS)).all()
+    assert (model.words.sum(0) <= model.all_words).all()
+
+
 # queries
 @pytest.mark.skipif(not os.path.isdir(D), reason="no test tables")
 class TestQueries:
