@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import NO_VALUE, clean, smallest
+from lodestone.llm.common import NO_VALUE, clean
 from lodestone.llm.confusables import canonical
 
 # Two-letter codes with the three-letter codes and names that stand for the same language.
@@ -34,18 +34,20 @@ SIZE = 1 << 17
 NGRAMS = (3, 4)
 #: Share of probability that all n-grams have in equal parts.
 UNSEEN = 0.05
-#: Labelled texts that the models are fitted to at most, those whose keys have the smallest hashes, and the characters that such a text has at most;
-#: everything else covers all texts, whole.
-SAMPLE_ROWS = 6000
+#: Labelled texts that the models are fitted to at most, in equal parts of each language (LEAST_ROWS at least), those whose keys have the smallest hashes, and the
+#: characters that such a text has at most; everything else covers all texts, whole.
+SAMPLE_ROWS, LEAST_ROWS = 6000, 200
 LONGEST = 20_000
 #: An n-gram shares letters with others, so a sentence's log-likelihood counts for less than half of the sum over its n-grams.
 TEMPER = 0.4
 #: Log-likelihood by which a further language of a text must pay.
 PENALTY = 8.0
+#: Mean share of a text's n-grams that no language's sample has, above which the text is in none of them.
+STRANGE = 0.9
 
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"'»)\]]*\s+|\n+")
-_NOT_WORD = re.compile(r"(?<!\S)[^\s\d_]*+[\d_]\S*")
-_NOT_LETTER = re.compile(r"(?:[^\w\n]|[\d_])+")
+_LETTER = re.compile(r"[^\W\d_]")
+_DIGIT = np.array([c.isdigit() or c == "_" for c in map(chr, range(0x80))])
 
 
 def language_code(c: Column) -> Column:
@@ -64,58 +66,116 @@ def sentences(text: str | None) -> list[str]:
     return split_sentences(canonical(text)) if text else []
 
 
+class _Letters:
+    """Which code points are letters (or other signs of words that are no decimal digit), filled for the common plane at first use."""
+
+    table: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, cp: np.ndarray) -> np.ndarray:
+        if cls.table is None:
+            cls.table = np.array([bool(_LETTER.match(chr(i))) for i in range(0x10000)])
+        low = cls.table[np.minimum(cp, 0xFFFF)]
+        high = cp > 0xFFFF
+        if high.any():
+            low[high] = [bool(_LETTER.match(chr(i))) for i in cp[high]]
+        return low
+
+
 def _grams(parts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each n the codes of all n-grams of letters of all sentences, and the sentence of each. Words with digits (names of files, users) are left out."""
-    flat = _NOT_LETTER.sub(" ", _NOT_WORD.sub(" ", "\n".join([" " + p.replace("\n", " ") + " " for p in parts]).lower()))
-    cp = np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    flat = "\n".join([" " + p.replace("\n", " ") + " " for p in parts]).lower()
+    cp = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    end, letter = cp == 10, _Letters.of(cp)
+    # a word runs to the next blank; one with a digit or an underscore is blank as a whole
+    blank = (cp == 32) | end | (cp == 9) | (cp == 13)
+    word = np.cumsum(blank)
+    digit = np.zeros(int(word[-1]) + 1 if len(cp) else 1, bool)
+    digit[word[_DIGIT[np.minimum(cp, 0x7F)] & (cp < 0x80)]] = True
+    cp = np.where(end, np.uint32(10), np.where(letter & ~digit[word], cp, np.uint32(32)))
+    keep = np.ones(len(cp), bool)
+    keep[1:] = (cp[1:] != 32) | (cp[:-1] != 32)
+    cp = cp[keep]
     end = cp == 10
     sent = np.cumsum(end)
-    out = []
-    for n in NGRAMS:
-        m = len(cp) - n + 1
-        if m <= 0:
-            out.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
-            continue
-        h, bad = np.full(m, n, np.uint32), np.zeros(m, bool)
-        for j in range(n):
-            h = (h ^ cp[j : m + j]) * np.uint32(0x9E3779B1)
-            h ^= h >> np.uint32(15)
-            bad |= end[j : m + j]
-        # n-grams of one blank after another say nothing
-        bad |= (cp[:m] == 32) & (cp[n - 1 : m + n - 1] == 32) & (n == 2)
-        ok = ~bad
-        out.append(((h & np.uint32(SIZE - 1))[ok].astype(np.int64), sent[:m][ok]))
+    out, h = [], np.full(len(cp), 3, np.uint32)
+    for n in range(1, max(NGRAMS) + 1):
+        m = max(0, len(cp) - n + 1)
+        h = (h[:m] ^ cp[n - 1 : n - 1 + m]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        if n in NGRAMS:
+            ok = (sent[:m] == sent[n - 1 : n - 1 + m]) & ~end[:m]
+            out.append(((h & np.uint32(SIZE - 1))[ok].astype(np.int64), sent[:m][ok]))
     return out
 
 
 class LanguageModel:
     def __init__(self, langs: list[str], logp: np.ndarray):
-        self.langs, self.logp = langs, logp  # logp: [n-gram order, language, code]
+        """logp: [n-gram order, code, language], and in a last column whether any language has the n-gram."""
+        self.langs, self.logp = langs, logp
 
-    def scores(self, parts: list[str]) -> np.ndarray:
-        """Log-likelihood of each sentence in each language; a sentence without letters has 0 in all."""
-        out = np.zeros((len(parts), len(self.langs)))
+    def measured(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Log-likelihood of each sentence in each language (0 in all without letters), and the share of its n-grams that no language has."""
+        k = len(self.langs)
+        out, n = np.zeros((len(parts), k + 1), np.float32), np.zeros(len(parts), np.int64)
         at = 0
         while at < len(parts):  # about so many characters at a time
             end, size = at, 0
             while end < len(parts) and (size < 400_000 or end == at):
                 size += len(parts[end])
                 end += 1
-            for k, (codes, sent) in enumerate(_grams(parts[at:end])):
+            for i, (codes, sent) in enumerate(_grams(parts[at:end])):
                 if len(codes):
                     starts = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
-                    for j in range(len(self.langs)):
-                        out[at + sent[starts], j] += np.add.reduceat(self.logp[k, j][codes], starts)
+                    out[at + sent[starts]] += np.add.reduceat(self.logp[i][codes], starts, axis=0)
+                    n[at + sent[starts]] += np.diff(np.r_[starts, len(codes)])
             at = end
-        return out * TEMPER
+        return out[:, :k].astype(float) * TEMPER, 1 - out[:, k] / np.maximum(n, 1)
+
+    def scores(self, parts: list[str]) -> np.ndarray:
+        return self.measured(parts)[0]
+
+    @staticmethod
+    def fitted(langs: list[str], grams: list[tuple[np.ndarray, np.ndarray]], q: np.ndarray) -> LanguageModel:
+        """q: [sentence, language] shares."""
+        logp = np.empty((len(NGRAMS), SIZE, len(langs) + 1), np.float32)
+        for k, (codes, sent) in enumerate(grams):
+            seen = np.zeros(SIZE)
+            for j in range(len(langs)):
+                c = np.bincount(codes, q[sent, j], SIZE)
+                seen += c
+                # an n-gram that a language lacks is as unlikely in each, however much text of it there was
+                logp[k, :, j] = np.log((1 - UNSEEN) * c / max(c.sum(), 1) + UNSEEN / SIZE)
+            logp[k, :, -1] = seen > 0
+        return LanguageModel(langs, logp)
+
+    @staticmethod
+    def spoken(rows: list[tuple[str, str]], common: float = 0.05) -> list[str]:
+        """The languages of the labels that texts bear out. One with a large share of the labels is taken as it is. Of a rare one, wrong labels of other languages' texts
+        may be all there is: it stays if a model of one half of its texts gives most of the other half more likelihood than every common language's model does."""
+        of: dict[str, list[str]] = {}
+        for text, lang in rows:
+            of.setdefault(lang, []).append(text)
+        sure = sorted(x for x, t in of.items() if len(t) >= common * len(rows))
+        out = list(sure)
+        for lang in sorted(of.keys() - set(sure)):
+            if len(of[lang]) < 2 or not sure:
+                out += [lang] * (not sure)
+                continue
+            own = of[lang]
+            texts = [(t, x) for x in sure for t in of[x][:50]] + [(t, lang) for t in own[::2]]
+            names = [*sure, lang]
+            parts = [(s, names.index(x)) for t, x in texts for s in sentences(t)]
+            model = LanguageModel.fitted(names, _grams([s for s, _ in parts]), np.eye(len(names))[[j for _, j in parts]])
+            best = [model.scores(s).sum(0).argmax() for s in map(sentences, own[1::2]) if s]
+            if best and 2 * sum(int(b) == len(sure) for b in best) > len(best):
+                out.append(lang)
+        return sorted(out)
 
     @staticmethod
-    def train(rows: list[tuple[str, str]], rounds: int = 4, least: float = 0.003) -> LanguageModel:
-        """rows: (text, language as labelled). Languages with less than `least` of the labels are left out."""
-        seen: dict[str, int] = {}
-        for _, lang in rows:
-            seen[lang] = seen.get(lang, 0) + 1
-        langs = sorted(x for x, n in seen.items() if n >= max(2, least * len(rows))) or sorted(seen)
+    def train(rows: list[tuple[str, str]], rounds: int = 4) -> LanguageModel:
+        """rows: (text, language as labelled)."""
+        langs = LanguageModel.spoken(rows)
         parts, label = [], []
         for text, lang in rows:
             if lang in langs:
@@ -127,17 +187,11 @@ class LanguageModel:
         grams = _grams(parts)
         model = None
         for _ in range(rounds):
-            logp = np.empty((len(NGRAMS), len(langs), SIZE), np.float32)
-            for k, (codes, sent) in enumerate(grams):
-                for j in range(len(langs)):
-                    c = np.bincount(codes, q[sent, j], SIZE)
-                    # an n-gram that a language lacks is as unlikely in each, however much text of it there was
-                    logp[k, j] = np.log((1 - UNSEEN) * c / max(c.sum(), 1) + UNSEEN / SIZE)
-            model = LanguageModel(langs, logp)
+            model = LanguageModel.fitted(langs, grams, q)
             # a sentence is as its text is labelled unless its letters say otherwise
             s = model.scores(parts) + 2.0 * np.eye(len(langs))[lab]
-            s = np.exp(s - s.max(1, keepdims=True))
-            q = s / s.sum(1, keepdims=True)
+            s = np.exp(s - s.max(1, keepdims=True)) if s.size else s
+            q = s / s.sum(1, keepdims=True) if s.size else s
         return model
 
     def mixture(self, a: np.ndarray) -> tuple[list[int], np.ndarray]:
@@ -167,11 +221,12 @@ class LanguageModel:
         return chosen, parts
 
     def texts(self, texts: list[str | None]) -> Iterator[list[tuple[str | None, float, int, int]]]:
-        """For each text its segments: (language, confidence, sentences, characters); one of no language if it has no letters."""
+        """For each text its segments: (language, confidence, sentences, characters); one of no language if it has no letters, of `und` with confidence 0 if
+        nearly all its n-grams occur in none of the languages."""
         return self.split_texts([sentences(t) for t in texts])
 
     def split_texts(self, own: list[list[str]]) -> Iterator[list[tuple[str | None, float, int, int]]]:
-        a = self.scores([s for x in own for s in x])
+        a, strange = self.measured([s for x in own for s in x])
         count = np.array([len(x) for x in own], np.int64)
         has = np.flatnonzero(count)
         first = np.cumsum(count) - count
@@ -179,7 +234,7 @@ class LanguageModel:
         p = np.exp(a - a.max(1, keepdims=True)) if a.size else a
         p = p / p.sum(1, keepdims=True) if a.size else a
         # texts to which no second language could add as much as the penalty need no mixture
-        best, simple, sure, n = (np.zeros(len(own), t) for t in (np.int64, bool, float, float))
+        best, simple, sure, n, unknown = (np.zeros(len(own), t) for t in (np.int64, bool, float, float, bool))
         if len(has) and a.size:
             at = first[has]
             best[has] = np.add.reduceat(a, at).argmax(1)
@@ -188,9 +243,12 @@ class LanguageModel:
             simple[has] = np.add.reduceat(np.maximum(a - a[i, of][:, None], 0), at).max(1) <= PENALTY
             n[has] = np.add.reduceat(lettered.astype(float), at)
             sure[has] = np.add.reduceat(np.where(lettered, p[i, of], 0.0), at) / np.maximum(n[has], 1)
+            unknown[has] = np.add.reduceat(np.where(lettered, strange, 0.0), at) > STRANGE * n[has]
         for i, parts in enumerate(own):
             if not n[i]:
                 yield [(None, 0.0, len(parts), sum(map(len, parts)))]
+            elif unknown[i]:
+                yield [("und", 0.0, len(parts), sum(map(len, parts)))]
             elif simple[i]:
                 yield [(self.langs[best[i]], round(float(sure[i]), 4), len(parts), sum(map(len, parts)))]
             else:
@@ -213,16 +271,24 @@ class LanguageModel:
 
 
 def fit(df: DataFrame, key: str, text: str, label: str, rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """A model of the languages that df's labels name, fitted to at most `rows` labelled texts of up to LONGEST characters."""
-    x = df.select(F.col(key).alias("k"), F.col(text).alias("t"), language_code(F.col(label)).alias("l"))
-    got = smallest(x.where(f"l is not null and length(t) between 1 and {LONGEST}"), "k", rows).collect()
-    return LanguageModel.train([(r["t"], r["l"]) for r in sorted(got, key=lambda r: r["k"])])
+    """A model of the languages that df's labels name, fitted to about `rows` labelled texts of up to LONGEST characters, as many of each language."""
+    x = df.select(F.xxhash64(key).alias("h"), F.col(key).alias("k"), F.col(text).alias("t"), language_code(F.col(label)).alias("l")).where(f"l is not null and length(t) between 1 and {LONGEST}")
+    n = {r["l"]: r["n"] for r in x.groupBy("l").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        return LanguageModel.train([])
+    per = max(LEAST_ROWS, rows // len(n))
+    # rows that can't be among a language's smallest hashes are dropped where they are
+    most = F.create_map(*[F.lit(v) for lang, m in n.items() for v in (lang, int(-(2**63) + 2**64 * min(1.0, 1.5 * per / m)) - (1.5 * per >= m))])
+    own: dict[str, list] = {lang: [] for lang in n}
+    for r in x.where(F.col("h") <= most[F.col("l")]).collect():
+        own[r["l"]].append((r["h"], r["k"], r["t"]))
+    return LanguageModel.train([(t, lang) for lang in sorted(own) for _, _, t in sorted(own[lang])[:per]])
 
 
 def segments(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFrame:
     """key, segment_no, lang, confidence, n_sentences, n_chars, n_langs of each segment of each text.
 
-    A text that is null, empty or without letters has one segment, whose lang is null. Whole texts are read, however long.
+    A text that is null, empty or without letters has one segment, whose lang is null; one in none of the model's languages has one, `und`. Whole texts are read, however long.
     """
     kind = df.schema[key].dataType.simpleString()
     names = [key, "segment_no", "lang", "confidence", "n_sentences", "n_chars", "n_langs"]
@@ -245,5 +311,5 @@ def segments(df: DataFrame, key: str, text: str, model: LanguageModel) -> DataFr
 def relabelled(df: DataFrame, key: str, text: str, label: str, model: LanguageModel) -> DataFrame:
     """Segments of the texts whose label is missing or wrong, and of all that have more than one language."""
     given = df.select(key, language_code(F.col(label)).alias("given"))
-    s = segments(df, key, text, model).where("lang is not null")
+    s = segments(df, key, text, model).where("lang is not null and lang <> 'und'")
     return s.join(given, key).where("n_langs > 1 or given is null or given <> lang")
