@@ -1,9 +1,11 @@
 """Problem 6: defective prompt and response pairs.
 
-Openings of responses (their first words, names and numbers masked) are clustered by the words they share, all links of four fifths being found. A cluster that recurs across unrelated prompts and whose responses stop short, where responses of the table usually go on, is a
-refusal's template. A word model of such responses against those that go on carries this over to refusals whose template is rare. Whether a response
-broke off is judged by how often complete sentences end, and how often they go on, after its last words; copies by the share of
-its word triples that are the prompt's; its language by the n-gram mixture of problem 5.
+Openings of responses (their first words, names and numbers masked) are clustered by MinHash over their words, candidates being verified exactly. A cluster that recurs
+across unrelated prompts and whose responses stop short, where responses of the table usually go on, is a refusal's template, and its short responses refuse. For responses whose
+opening is too rare to tell, a word model of templates' responses against those that go on decides. Whether a response broke off is judged by how often complete
+sentences end, and how often they go on, after its last words; copies by the share of its word triples that are the prompt's; its language by the n-gram mixture of problem 5.
+
+Texts are read once: that pass leaves each response's words as codes, and all that follows reads only these.
 """
 
 from __future__ import annotations
@@ -17,7 +19,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestone.llm.common import smallest, stored
 from lodestone.llm.confusables import canonical
@@ -25,14 +26,18 @@ from lodestone.llm.grouping import connected
 from lodestone.llm.language import LANGUAGES, LONGEST, LanguageModel, split_sentences
 from lodestone.llm.wordsets import mix
 
-#: Words of an opening, similarity of a cluster's openings: one of ten words may differ.
+#: Words of an opening; similarity (of words counted with repeats) of a cluster's openings: one of ten words may differ.
 OPENING, SIMILAR = 10, 0.8
+#: Rows x bands of an opening's MinHash signature: a pair that differs in one of ten words shares no band with probability (1 - 0.82^4)^12 = 0.0008.
+ROWS, BANDS = 4, 12
 #: A template recurs with at least so many different prompts; so large a share of its responses are short.
 PROMPTS, SHORT_SHARE = 3, 0.9
-#: Responses of each kind to which the word models are fitted at most, those whose keys have the smallest hashes.
+#: Responses of each kind, of up to LONGEST words, to which the word model is fitted at most, those whose keys have the smallest hashes. They are labelled by their templates.
 SAMPLE_ROWS = 6000
 #: Share of a copy's word triples that are in the prompt.
 COPIED = 0.8
+#: Bits of the table in which the last words of responses without a stop are marked: a word end that isn't one of them is counted in vain with the share of bits that are set.
+MARKS = 1 << 26
 
 # Answers that stand for no answer, in lower case without outer brackets and punctuation.
 NO_ANSWER = ["", "no response", "no answer", "no output", "empty", "empty response", "n/a", "na", "none", "null", "nil", "nan", "undefined", "blank", "no reply", "no content", "not available", "missing", "tbd", "todo"]
@@ -44,57 +49,114 @@ ASKED = {
 }
 ANSWER = r"(?:answer|reply|respond|response|write|antworte|antwort|schreibe|réponds|répondez|réponse|écris|responde|respuesta|contesta|escribe|rispondi|risposta|scrivi|ответь|ответьте|ответ|пиши|отвечай)"
 _ASKED = [(lang, re.compile(ANSWER + r"\b[^.!?\n]{0,40}?\b(?:" + "|".join(v.split()) + ")")) for lang, v in ASKED.items()]
+_ANSWER = re.compile(ANSWER)
 
-_NAME = re.compile(r"(?<!\S)[^\s\d]*+\d\S*")
-_WORD = re.compile(r"(?:[^\W\d_]|['’])+|#")
+_DIGIT = re.compile(r"\d")
+_WORD = re.compile(r"(?:[^\W\d_]|['’])+|[#\x01]")
 _FENCE = re.compile(r"```.*?```", re.S)
 _SIGNED = re.compile(r"\n\s*(?:--|—|–)\s[^\n]*\Z")
 _FIELD = re.compile(r"\"\w+\"\s*:")
 # Errors that tell of a cut; they count only where the last sentence has no stop.
 _CUT = re.compile(r"(?i)max[_ ]?tokens (?:reached|exceeded)|finish_reason\s*[=:]\s*length|stream closed|cut off|truncated")
-_CLOSED = re.compile(r"[.!?。！？][\"'»”)\]]*\Z")
+_CLOSED = re.compile(r"[.!?。！？][\"'»”)\]]*\s*\Z")
+
+#: Codes of the ends of sentences with and without a stop, and of what is before the first word; words have codes from 0 on.
+STOP, OPEN, START = -1, -2, -3
+_CODES: dict[str, int] = {}
+_MOST_WORDS = 500_000  # words kept in a worker's memory; beyond that it starts anew
+U = np.uint64
 
 
 def prose(response: str | None) -> str:
     """The response in its consistent form without code, signature and the names of JSON fields."""
-    text = canonical(response or "").strip()
+    return _prose(canonical(response or "").strip())
+
+
+def _prose(text: str) -> str:
     if "\n" in text:
         text = _SIGNED.sub("", _FENCE.sub("\n", text)).strip()
     return _FIELD.sub(" ", text) if text[:1] in "{[" else text
 
 
+class _Tokens(dict):
+    """Words of what stands between blanks (lower case), kept as it occurs; what has a digit is a name, "#"."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        if _DIGIT.search(token):
+            return ("#",)
+        words = tuple(_WORD.findall(token))
+        if len(self) >= _MOST_WORDS:
+            self.clear()
+        self[token] = words
+        return words
+
+
+_TOKENS = _Tokens()
+
+
 def masked(sentence: str) -> list[str]:
-    return _WORD.findall(_NAME.sub(" # ", sentence).lower())
+    """Words in lower case, names and numbers masked."""
+    return [w for t in sentence.lower().split() for w in _TOKENS[t]]
 
 
 def is_empty(response: str | None) -> bool:
-    if response is None:
-        return True
-    text = canonical(response).strip().lower()
-    return text.strip(" \t\n()[]<>{}\"'.-_*…") in NO_ANSWER
+    return response is None or _is_empty(canonical(response))
+
+
+def _is_empty(text: str) -> bool:
+    return text.strip().lower().strip(" \t\n()[]<>{}\"'.-_*…") in NO_ANSWER if len(text) < 200 else not text.strip(" \t\n()[]<>{}\"'.-_*…")
+
+
+class Prompt:
+    """What is known of a prompt."""
+
+    def __init__(self, prompt: str | None):
+        self.text = canonical(prompt or "")
+        self.words = masked(self.text)
+        self.different = frozenset(self.words)
+        self._triples: set[tuple] | None = None
+
+    @property
+    def triples(self) -> set[tuple]:
+        if self._triples is None:
+            self._triples = _triples(self.words)
+        return self._triples
 
 
 def _triples(words: list[str]) -> set[tuple]:
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    return set(zip(words, words[1:], words[2:], strict=False))
 
 
-def is_copy(prompt: str | None, response: str, words: frozenset | None = None) -> bool:
-    """Whether nearly all word triples of the response, and so all but slight changes and marks, are the prompt's. words: the prompt's, if they are known."""
-    answer = canonical(response).lower()
-    words = prompt_words(prompt) if words is None else words
-    # a copy has most of its words, however cut, from the prompt; few other responses have
-    some = set(answer.split())
-    if 2 * len(some.intersection(words)) < len(some):
+def is_copy(prompt: Prompt, text: str, words: list[str]) -> bool:
+    """Whether nearly all word triples of the response (text, its masked words), and so all but slight changes and marks, are the prompt's. A response of fewer than three
+    different triples is a copy if four fifths of the different words of both are common to both."""
+    some = set(words)
+    if 2 * len(some & prompt.different) < len(some):
         return False
-    own = _triples(_WORD.findall(answer))
+    own = _triples(words)
     if len(own) < 3:
-        return False
-    theirs = _triples(_WORD.findall(canonical(prompt or "").lower()))
-    return len(own & theirs) >= COPIED * len(own)
+        a, b = (set(re.findall(r"\w+", x.lower())) for x in (text, prompt.text))
+        return bool(a) and 5 * len(a & b) >= 4 * len(a | b)
+    return len(own & prompt.triples) >= COPIED * len(own)
+
+
+def is_closed(sentence: str) -> bool:
+    return sentence[-1:] in ".!?" or bool(_CLOSED.search(sentence[-8:]))
+
 
+def codes(words: list[str]) -> np.ndarray:
+    """Codes of words, of 31 bits."""
+    for x in set(words).difference(_CODES):
+        _CODES[x] = xxhash.xxh32_intdigest(x) & 0x7FFFFFFF
+    out = np.fromiter(map(_CODES.__getitem__, words), np.int32, len(words))
+    if len(_CODES) > _MOST_WORDS:
+        _CODES.clear()
+    return out
 
-def prompt_words(prompt: str | None) -> frozenset:
-    return frozenset(canonical(prompt or "").lower().split())
+
+def coded(own: list[str]) -> np.ndarray:
+    """The words' codes of sentences, each followed by STOP or OPEN."""
+    return np.concatenate([np.r_[codes(masked(s)), np.int32(STOP if is_closed(s) else OPEN)] for s in own] or [np.zeros(0, np.int32)]).astype(np.int32)
 
 
 @dataclass
@@ -105,63 +167,50 @@ class WordModel:
     SIZE = 1 << 16
 
     @classmethod
-    def codes(cls, sentence: str) -> list[int]:
-        w = ["^", *masked(sentence), "$"]
-        return [xxhash.xxh32_intdigest(x) % cls.SIZE for x in {*w[1:-1], *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))}]
+    def features(cls, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """Of coded responses one after another: the different words and word pairs (hashed) of each sentence, the sentence of each, and the number of sentences."""
+        end = c < 0
+        sent = np.cumsum(end) - end
+        before = np.r_[np.int64(START), c[:-1].astype(np.int64)]
+        before = np.where(before < 0, START, before)
+        this = np.where(end, STOP, c.astype(np.int64))
+        pair = (mix((before.astype(U) << U(32)) ^ (this.astype(U) & U(0xFFFFFFFF))) % U(cls.SIZE)).astype(np.int64)
+        word = this[~end] % cls.SIZE
+        x = np.unique(np.concatenate([(sent[~end].astype(np.int64) << 17) | word, (sent.astype(np.int64) << 17) | (1 << 16) | pair]))
+        return ((x & 0xFFFF) ^ np.where(x & 0x10000, 0x5BD1, 0)) & 0xFFFF, x >> 17, int(end.sum())
 
     @classmethod
-    def train(cls, yes: list[str], no: list[str]) -> WordModel:
-        counts = [np.bincount([c for s in x for c in cls.codes(s)], minlength=cls.SIZE) + 0.5 for x in (yes, no)]
-        p, q = ((c / (len(x) + 1)) for c, x in zip(counts, (yes, no), strict=True))
-        return cls(np.log(p / q).astype(np.float32)) if yes else cls()
-
-    def score(self, sentence: str) -> float:
-        c = self.codes(sentence)
-        return float(self.odds[c].sum() / len(c) ** 0.5) if len(self.odds) and c else -1.0
-
-
-@dataclass
-class EndModel:
-    """How often complete sentences end, and how often they go on, after their last three, two and one words."""
-
-    ends: dict[tuple, int] = field(default_factory=dict)
-    inner: dict[tuple, int] = field(default_factory=dict)
-
-    @classmethod
-    def train(cls, parts: list[str], needed: frozenset | None = None) -> EndModel:
-        """needed: the keys to count, of which each comes with its shorter ends; all if None."""
-        m = cls()
-        for s in parts:
-            w = ["^", "^", *masked(s)]
-            for i in range(2, len(w)):
-                if needed is not None and (w[i],) not in needed:
-                    continue
-                into = m.ends if i == len(w) - 1 else m.inner
-                for n in (1, 2, 3):
-                    k = tuple(w[i - n + 1 : i + 1])
-                    if needed is None or k in needed:
-                        into[k] = into.get(k, 0) + 1
-        return m
-
-    def ended(self, sentence: str) -> bool:
-        """Whether a sentence without its stop is complete: its last words have ended sentences at least a tenth of the times they occur."""
-        w = ["^", "^", *masked(sentence)]
-        for n in (3, 2, 1):
-            k = tuple(w[-n:])
-            e, i = self.ends.get(k, 0), self.inner.get(k, 0)
-            if e + i >= 4 or (n == 1 and e + i):
-                return e >= 0.1 * (e + i)
-        return False
-
-
-def last_open(response: str) -> bool | str:
-    """Whether the response breaks off, where marks tell; else its last sentence, which lacks its stop."""
-    text = canonical(response).strip()
+    def train(cls, yes: np.ndarray, no: np.ndarray) -> WordModel:
+        """yes, no: coded sentences of refusals and of others."""
+        k, n = [], []
+        for c in (yes, no):
+            f, _, m = cls.features(c) if len(c) else (np.zeros(0, np.int64), None, 0)
+            k.append(np.bincount(f, minlength=cls.SIZE))
+            n.append(m)
+        if not n[0]:
+            return cls()
+        # shares are smoothed alike, however many sentences there are of each, so that what neither has says nothing
+        few = 0.5 / n[0]
+        return cls(np.log((k[0] / n[0] + few) / (k[1] / max(n[1], 1) + few)).astype(np.float32))
+
+    def scores(self, c: np.ndarray) -> np.ndarray:
+        """A score for each sentence."""
+        f, sent, n = self.features(c)
+        if not len(self.odds):
+            return np.full(n, -1.0)
+        k = np.bincount(sent, minlength=n)
+        return np.bincount(sent, self.odds[f], minlength=n) / np.sqrt(np.maximum(k, 1)) - (k == 0)
+
+
+def last_open(text: str) -> bool | str:
+    """Whether the response (in its consistent form) breaks off, where marks tell; else its last sentence, which lacks its stop."""
+    text = text.strip()
     body = _SIGNED.sub("", text).strip() if "\n" in text else text
-    if body.count("```") % 2:
-        return True
-    if body.endswith("```"):
-        return False
+    if "```" in body:
+        if body.count("```") % 2:
+            return True
+        if body.endswith("```"):
+            return False
     if body[:1] in "{[":
         return body[-1:] not in "}]"
     if body.endswith(("…", "...")):
@@ -172,71 +221,101 @@ def last_open(response: str) -> bool | str:
     return own[-1] if own else False
 
 
-def is_truncated(response: str, model: EndModel, error: str | None = None) -> bool:
-    """Whether the response breaks off: an open block or object, or a last sentence without its stop that isn't complete or to which the error tells that it was cut."""
-    last = last_open(response)
-    return last if isinstance(last, bool) else bool(_CUT.search(error or "")) or not model.ended(last)
+def opening(own: list[str]) -> str:
+    return " ".join(masked(" ".join(own[:2]))[:OPENING])
 
 
-def opening(response: str) -> tuple[str, int]:
-    own = split_sentences(prose(response))
-    return (" ".join(masked(" ".join(own[:2]))[:OPENING]), len(own)) if own else ("", 0)
+def asked(text: str) -> set[str]:
+    """Languages that the prompt (in its consistent form) asks the answer to be in."""
+    text = text.lower()
+    return {lang for lang, r in _ASKED if r.search(text)} & set(LANGUAGES) if _ANSWER.search(text) else set()
 
 
-def openings(df: DataFrame, key: str, response: str) -> DataFrame:
-    """key, opening, n_sentences of the responses that aren't empty."""
+READ = "prompt long, kind string, opening string, n_sentences int, broken boolean, cut boolean, tail array<int>, foreign boolean, codes array<int>"
 
-    @F.arrow_udf(T.StructType([T.StructField("opening", T.StringType()), T.StructField("n_sentences", T.IntegerType())]))
-    def parts(responses: pa.Array) -> pa.Array:
-        found = [("", 0) if is_empty(r) else opening(r) for r in responses.to_pylist()]
-        return pa.array([{"opening": o or None, "n_sentences": n} for o, n in found], pa.struct([("opening", pa.string()), ("n_sentences", pa.int32())]))
 
-    return df.select(key, parts(response).alias("x"), "prompt").where("x.opening is not null").select(key, "x.opening", "x.n_sentences", "prompt")
+class Reader:
+    """What is read of pairs, once: see READ. Prompts met lately are remembered."""
 
+    def __init__(self, language: LanguageModel):
+        self.language = language
+        self.prompts: dict[str | None, Prompt] = {}
+        self.spoken: dict[str | None, set[str]] = {}
 
-def _links(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of an opening of up to OPENING words, and whether it may be the bucket's centre. Buckets are hashes of its words (counted with repeats, in any order), of all but
-    one and of all but two; openings as similar as SIMILAR differ by no more. A bucket of s words holds those of s + 1 that lack one: they equal its own opening from
-    s = 4 on, and each other from s = 8 on. Those of s + 2 that lack two equal its own opening from s = 8 on."""
-    w, seen = text.split(), {}
-    h = np.zeros(len(w), np.uint64)
-    for i, x in enumerate(w):
-        seen[x] = seen.get(x, 0) + 1
-        h[i] = xxhash.xxh3_64_intdigest(f"{x} {seen[x]}")
-    n, all_ = len(w), np.add.reduce(mix(h))
-    one = all_ - mix(h) if n > 4 else h[:0]
-    i, j = np.triu_indices(n if n > 9 else 0, 1)
-    two = mix(one[i] - mix(h)[j]) if n > 9 else h[:0]
-    own = np.array([all_], np.uint64)
-    k = np.concatenate([own, one, mix(own) if n > 7 else own[:0], two])
-    return k.view(np.int64), np.concatenate([np.ones(1, bool), np.full(len(one), n > 8), np.ones(int(n > 7), bool), np.zeros(len(two), bool)])
+    def rows(self, prompts: list[str | None], responses: list[str | None], errors: list[str | None]) -> list[pa.Array]:
+        n = len(prompts)
+        kind: list[str | None] = [None] * n
+        first: list[str | None] = [None] * n
+        broken, cut, foreign = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+        length = np.zeros(n, np.int32)
+        tails: list[list[int] | None] = [None] * n
+        words: list[list[str]] = [[]] * n
+        stops: list[bool] = []
+        rest, answers, new = [], [], {}
+        if len(self.prompts) > 4000:
+            self.prompts.clear()
+            self.spoken.clear()
+        for i, (p, r, e) in enumerate(zip(prompts, responses, errors, strict=True)):
+            text = canonical(r)
+            if text is None or _is_empty(text):
+                kind[i] = "empty"
+                continue
+            own = split_sentences(_prose(text.strip()))
+            length[i] = len(own)
+            # all sentences' words at once, with a mark after each
+            w = masked(" \x01 ".join([*(own if "\x01" not in text else [s.replace("\x01", " ") for s in own]), ""]))
+            plain = [x for x in w if x != "\x01"]
+            if p not in self.prompts:
+                self.prompts[p] = Prompt(p)
+            if p is not None and is_copy(self.prompts[p], text, plain):
+                kind[i] = "copy"
+            if own:
+                words[i] = w
+                stops += map(is_closed, own)
+                # the first two sentences' words
+                at = w.index("\x01", w.index("\x01") + 1) - 1 if len(own) > 2 else len(plain)
+                first[i] = " ".join(plain[: min(at, OPENING)]) or None
+            if kind[i]:
+                continue
+            x = last_open(text)
+            if isinstance(x, str):
+                tails[i] = [START, START, *codes(masked(x)).tolist()][-3:]
+                cut[i] = bool(e and _CUT.search(e))
+            else:
+                broken[i] = x
+            rest.append(i)
+            answers.append(own)
+            if p not in self.spoken and p not in new:
+                new[p] = split_sentences(self.prompts[p].text)
+        found = [{x[0] for x in s if x[0] and x[0] != "und"} for s in self.language.split_texts([*new.values(), *answers])]
+        self.spoken.update(zip(new, found, strict=False))
+        for i, ours in zip(rest, found[len(new) :], strict=True):
+            theirs = self.spoken[prompts[i]]
+            foreign[i] = bool(ours and theirs and not (theirs & ours)) and not (ours & asked(self.prompts[prompts[i]].text))
+        ids = [None if p is None else xxhash.xxh64_intdigest(p) - (1 << 63) for p in prompts]
+        c = codes([x for w in words for x in w])
+        c[c == _MARK] = np.where(np.array(stops, bool), STOP, OPEN)
+        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, words)]), pa.int32()), pa.array(c))
+        return [pa.array(ids, pa.int64()), pa.array(kind, pa.string()), pa.array(first, pa.string()), pa.array(length), pa.array(broken), pa.array(cut), pa.array(tails, pa.list_(pa.int32())), pa.array(foreign), flat]
 
 
-def clusters(op: DataFrame) -> DataFrame:
-    """opening, cluster: the openings that links of at least SIMILAR connect, named by their smallest. All links are found by way of buckets (see _links), in each of which
-    an opening is tied to the smallest centre only, so a bucket costs as many rows as it has openings."""
+_MARK = xxhash.xxh32_intdigest("\x01") & 0x7FFFFFFF
 
-    @F.arrow_udf(T.ArrayType(T.StructType([T.StructField("k", T.LongType()), T.StructField("centre", T.BooleanType())])))
-    def buckets(texts: pa.Array) -> pa.Array:
-        found = [_links(t) for t in texts.to_pylist()]
-        flat = [np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(([k for k, _ in found], [c for _, c in found]), (np.int64, bool), strict=True)]
-        ends = np.cumsum([0, *(len(k) for k, _ in found)])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(x) for x in flat], ["k", "centre"]))
 
-    own = stored(op.select("opening").distinct(), "openings")
-    part = stored(own.select("opening", F.inline(buckets("opening"))), "buckets")
-    first = part.groupBy("k").agg(F.min(F.when(F.col("centre"), F.col("opening"))).alias("v"), F.count("*").alias("n")).where("n > 1 and v is not null").drop("n")
-    edges = part.join(first, "k").where("opening <> v").select(F.col("opening").alias("u"), "v").distinct()
-    found = connected(edges).select(F.col("node").alias("opening"), F.col("component").alias("cluster"))
-    return own.join(found, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+def read(df: DataFrame, key: str, prompt: str, response: str, error: str, language: LanguageModel) -> DataFrame:
+    """key and READ of each row, written to the shared folder. Rows of a prompt are brought together, so that it is read once; a prompt with very many rows is split by Spark's
+    rebalancing."""
+    kind = df.schema[key].dataType.simpleString()
+    reader = Reader(language)
+    names = [key, *(x.split()[0] for x in READ.split(", "))]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), *reader.rows(*[part.column(i).to_pylist() for i in (1, 2, 3)])], names)
 
-def templates(op: DataFrame, usual: int, share: float = SHORT_SHARE, prompts: int = PROMPTS) -> DataFrame:
-    """Openings of clusters that recur across different prompts and whose responses stop before the usual number of sentences."""
-    x = op.groupBy("opening").agg(F.count("*").alias("n"), F.sum(F.when(F.col("n_sentences") < usual, 1).otherwise(0)).alias("short"), F.approx_count_distinct("prompt", 0.03).alias("p"))
-    c = x.join(clusters(op), "opening")
-    good = c.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("short").alias("short"), F.sum("p").alias("p")).where(f"p >= {prompts} and short >= {share} * n")
-    return c.join(good.select("cluster"), "cluster", "left_semi").select("opening")
+    return stored(df.select(key, prompt, response, error).hint("rebalance", F.col(prompt)).mapInArrow(run, f"`{key}` {kind}, {READ}"), "pairs")
 
 
 def usual_length(op: DataFrame) -> int:
@@ -246,116 +325,192 @@ def usual_length(op: DataFrame) -> int:
     return int(n["n"]) if n else 0
 
 
-@dataclass
-class Judge:
-    language: LanguageModel
-    refusal: WordModel
-    end: EndModel
-    #: what is known of prompts met lately: words, languages
-    words: dict = field(default_factory=dict)
-    spoken: dict = field(default_factory=dict)
-
-    def refuses(self, own: list[str]) -> bool:
-        return bool(own) and all(self.refusal.score(s) > 0 for s in own)
-
-    def defects(self, prompts: list[str | None], responses: list[str | None], errors: list[str | None]) -> list[str | None]:
-        out: list[str | None] = [None] * len(prompts)
-        rest, answers, new = [], [], {}
-        if len(self.words) > 4000:
-            self.words.clear()
-            self.spoken.clear()
-        for i, (p, r, e) in enumerate(zip(prompts, responses, errors, strict=True)):
-            if is_empty(r):
-                out[i] = "empty"
-                continue
-            if p not in self.words:
-                self.words[p] = prompt_words(p)
-            if is_copy(p, r, self.words[p]):
-                out[i] = "copy"
-            else:
-                own = split_sentences(prose(r))
-                if self.refuses(own):
-                    out[i] = "refusal"
-                elif is_truncated(r, self.end, e):
-                    out[i] = "truncated"
-                else:
-                    rest.append(i)
-                    answers.append(own)
-                    if p not in self.spoken:
-                        new[p] = split_sentences(canonical(p or ""))
-        found = [{x[0] for x in s if x[0]} for s in self.language.split_texts([*new.values(), *answers])]
-        self.spoken.update(zip(new, found, strict=False))
-        for i, theirs in zip(rest, found[len(new) :], strict=True):
-            ours = self.spoken[prompts[i]]
-            if ours and theirs and not (theirs & ours) and not (theirs & asked(prompts[i])):
-                out[i] = "wrong_language"
-        return out
+_SEEDS = np.random.Generator(np.random.PCG64(6)).integers(1, 2**63, ROWS * BANDS, dtype=np.uint64) | U(1)
 
 
-def asked(prompt: str | None) -> set[str]:
-    """Languages that the prompt asks the answer to be in."""
-    text = canonical(prompt or "").lower()
-    return {lang for lang, r in _ASKED if r.search(text)} & set(LANGUAGES)
-
-
-def ends(df: DataFrame, response: str, counted: DataFrame) -> EndModel:
-    """How often sentences end and go on after the last words of df's responses without a stop, in all sentences of `counted` (t) but each text's last.
-    Only those last words and their counts leave the executors."""
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = set()
-            for r in b.column(0).to_pylist():
-                x = False if is_empty(r) else last_open(r)
-                if isinstance(x, str):
-                    w = ["^", "^", *masked(x)]
-                    found |= {" ".join(w[-n:]) for n in (1, 2, 3)}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], ["k"])
-
-    keys = df.select(response).mapInArrow(last, "k string").distinct().collect()
-    needed = df.sparkSession.sparkContext.broadcast(frozenset(tuple(r["k"].split(" ")) for r in keys))
+def _word_keys(text: str) -> np.ndarray:
+    """Keys of an opening's words, each with how often it occurred before."""
+    seen: dict[str, int] = {}
+    out = np.zeros(OPENING, U)
+    w = text.split()[:OPENING]
+    for i, x in enumerate(w):
+        seen[x] = seen.get(x, 0) + 1
+        out[i] = xxhash.xxh3_64_intdigest(f"{x} {seen[x]}")
+    return out[: len(w)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            m = EndModel.train([s for t in b.column(0).to_pylist() for s in split_sentences(prose(t))[:-1] if _CLOSED.search(s.strip())], needed.value)
-            k = sorted(m.ends.keys() | m.inner.keys())
-            yield pa.RecordBatch.from_arrays([pa.array([" ".join(x) for x in k], pa.string()), pa.array([m.ends.get(x, 0) for x in k], pa.int64()), pa.array([m.inner.get(x, 0) for x in k], pa.int64())], ["k", "e", "i"])
 
-    got = counted.select("t").mapInArrow(count, "k string, e long, i long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("i").alias("i")).collect()
-    own = [(tuple(r["k"].split(" ")), r["e"], r["i"]) for r in got]
-    return EndModel({k: e for k, e, _ in own if e}, {k: i for k, _, i in own if i})
+def signatures(texts: list[str]) -> np.ndarray:
+    """[opening, band]: hashes of ROWS minima each, as int64. Every opening has a word."""
+    k = [_word_keys(t) for t in texts]
+    flat = np.concatenate(k) if k else np.zeros(0, U)
+    starts = np.cumsum([0, *map(len, k)])[:-1]
+    out = np.zeros((BANDS, len(k)), U)
+    for i in range(ROWS * BANDS if len(k) else 0):
+        out[i // ROWS] = mix(out[i // ROWS] + np.minimum.reduceat(mix(flat * _SEEDS[i]), starts))
+    return mix(out + np.arange(BANDS, dtype=U)[:, None]).view(np.int64).T
 
 
-def fit(df: DataFrame, key: str, prompt: str, response: str, language: LanguageModel, rows: int = SAMPLE_ROWS) -> Judge:
-    op = stored(openings(df.withColumn("prompt", F.xxhash64(prompt)), key, response), "responses")
-    usual = usual_length(op)
-    known = templates(op, usual)
-    texts = df.select(key, F.col(response).alias("t")).where(f"length(t) <= {LONGEST}")
+def clusters(op: DataFrame) -> DataFrame:
+    """opening, cluster: openings of responses that stop short (`short`; all that have a row where it is true) with those, short or not, that are at least SIMILAR to one of them, and so on
+    from short one to short one; clusters have the name of their smallest opening. An opening that is like no other is a cluster of its own.
 
-    def sample(rows_of: DataFrame) -> list[str]:
-        own = stored(smallest(rows_of.select(key), key, rows), "sample")
-        return [prose(r["t"]) for r in texts.join(F.broadcast(own), key, "left_semi").orderBy(key).collect()]
+    In each band's bucket all openings meet the short opening with the smallest hash, which differs from bucket to bucket, and pairs are verified exactly; so a bucket costs
+    as many rows as it has openings.
+    """
+    own = stored(op.groupBy("opening").agg(F.max("short").alias("short")), "openings")
+
+    @F.arrow_udf("array<bigint>")
+    def banded(texts: pa.Array) -> pa.Array:
+        s = signatures(texts.to_pylist())
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(s) + 1) * BANDS, pa.int32()), pa.array(s.ravel()))
+
+    part = own.select("opening", "short", F.explode(banded("opening")).alias("k"))
+    part = stored(part, "bands")
+    centre = F.when(F.col("short"), F.struct(F.xxhash64("opening", "k").alias("h"), "opening"))
+    first = part.groupBy("k").agg(F.min(centre).alias("m"), F.count("*").alias("n")).where("n > 1 and m is not null").select("k", F.col("m.opening").alias("v"))
+    pairs = part.join(first, "k").where("opening <> v").select(F.col("opening").alias("u"), "v", "short").distinct()
+
+    def words(c: str):
+        # words with their number, so that arrays are multisets
+        w = F.split(c, " ")
+        return F.transform(w, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(w, F.lit(1), i + 1), lambda y: y == x)).cast("string")))
+
+    both = F.size(F.array_intersect(words("u"), words("v")))
+    near = stored(pairs.where(both >= SIMILAR * (F.size(F.split("u", " ")) + F.size(F.split("v", " ")) - both)), "links")
+    found = connected(near.where("short").select("u", "v")).select(F.col("node").alias("v"), F.col("component").alias("c"))
+    # long openings go with the short one they are linked to, the smallest cluster if there are several
+    named = own.where("short").select(F.col("opening").alias("v")).join(found, "v", "left").select("v", F.coalesce("c", "v").alias("c"))
+    long = near.where("not short").join(named, "v").groupBy(F.col("u").alias("opening")).agg(F.min("c").alias("cluster"))
+    rest = own.where("not short").join(long, "opening", "left").select("opening", F.coalesce("cluster", "opening").alias("cluster"))
+    return named.select(F.col("v").alias("opening"), F.col("c").alias("cluster")).unionByName(rest)
 
-    yes = [s for t in sample(op.where(f"n_sentences < {usual}").join(known, "opening", "left_semi")) for s in split_sentences(t)]
-    whole = op.where(f"n_sentences >= {usual}").join(known, "opening", "left_anti")
-    no = [s for t in sample(whole) for s in split_sentences(t)]
-    end = ends(df, response, df.select(key, F.col(response).alias("t")).join(whole.select(key), key, "left_semi"))
-    return Judge(language, WordModel.train(yes, no), end)
 
+def templates(op: DataFrame, usual: int, share: float = SHORT_SHARE, prompts: int = PROMPTS) -> DataFrame:
+    """Openings of clusters that recur across different prompts and whose responses stop before the usual number of sentences. op: opening, n_sentences, prompt (a null prompt counts as none)."""
+    x = op.withColumn("short", F.col("n_sentences") < usual)
+    c = stored(clusters(x.select("opening", "short")), "clusters")
+    per = x.join(c, "opening").groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.col("short").cast("int")).alias("s"), F.approx_count_distinct("prompt", 0.03).alias("p"))
+    return c.join(per.where(f"p >= {prompts} and s >= {share} * n").select("cluster"), "cluster", "left_semi").select("opening")
+
+
+def _ends_of(c: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """[3, place]: keys of the last one, two and three words up to each place of c, which doesn't look before the sentence's start."""
+    w = c.astype(np.int64)
+    one = w[place]
+    two = np.where(place >= 1, w[place - 1], START)
+    two = np.where(two < 0, START, two)
+    three = np.where((place >= 2) & (two != START), w[place - 2], START)
+    three = np.where(three < 0, START, three)
+    k1 = mix(one.astype(U) + U(1))
+    k2 = mix(k1 + (two.astype(U) << U(1)) + U(2))
+    k3 = mix(k2 + (three.astype(U) << U(2)) + U(3))
+    return np.stack([k1, k2, k3])
+
+
+def ends(rows: DataFrame, key: str, whole: DataFrame) -> DataFrame:
+    """key, ended of rows with a `tail` (the last words of a sentence without its stop): whether it is complete, that is whether its last three words (two, one, the first of these that occur at least
+    four times; one word always) have ended sentences at least a tenth of the times they occur. Counted in all sentences of `whole` (codes) that have a stop, but each text's last.
+
+    Only a table of marks, of a fixed size, is sent around: word ends that aren't marked are not counted.
+    """
+    spark, kind = rows.sparkSession, rows.schema[key].dataType.simpleString()
 
-def defective(df: DataFrame, key: str, prompt: str, response: str, error: str, judge: Judge) -> DataFrame:
-    """key, defect of the rows that have one. A null response is empty; a null prompt is no language and is copied by nothing.
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                col = b.column(1)
+                n = np.diff(col.offsets.to_numpy())
+                flat = col.flatten().to_numpy(zero_copy_only=False)
+                k = _ends_of(flat, np.cumsum(n) - 1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(3, dtype=np.int32) + 1, len(n))), pa.concat_arrays([b.column(0)] * 3), pa.array(k.ravel())], ["words", key, "k"])
+
+    last = stored(rows.where("tail is not null").select(key, "tail").mapInArrow(tails, f"words int, `{key}` {kind}, k long"), "tails")
+    bit = F.expr(f"pmod(k, {MARKS})")
+    got = last.select(bit.alias("b")).groupBy(F.expr("b div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b % 64 as int))")).alias("m")).toPandas()
+    marks = np.zeros(MARKS // 64, np.int64)
+    marks[got["w"].to_numpy(np.int64)] = got["m"].to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(marks.view(np.uint64))
 
-    Rows of a prompt are brought together, so that it is read once; a prompt with very many rows is split by Spark's rebalancing.
-    """
-    kind = df.schema[key].dataType.simpleString()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(0)
+            c = col.flatten().to_numpy(zero_copy_only=False)
+            if not len(c):
+                continue
+            end = c < 0
+            # the number of sentences left in the text after each place, and whether the own one has a stop
+            at = np.flatnonzero(end)
+            sentence = np.cumsum(end) - end
+            closed = c[at][sentence] == STOP
+            final = np.zeros(len(at), bool)
+            final[sentence[np.cumsum(np.diff(col.offsets.to_numpy()))[np.diff(col.offsets.to_numpy()) > 0] - 1]] = True
+            place = np.flatnonzero(~end & closed & ~final[sentence])
+            k = _ends_of(c, place)
+            i = k % U(MARKS)
+            hit = (sent.value[(i >> U(6)).astype(np.int64)] >> (i & U(63))) & U(1) == 1
+            ending = np.broadcast_to(end[np.minimum(place + 1, len(c) - 1)], k.shape)
+            key_, e = k[hit].view(np.int64), ending[hit]
+            u, back = np.unique(key_, return_inverse=True)
+            e_ = np.bincount(back, e, len(u)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(e_), pa.array(np.bincount(back, minlength=len(u)).astype(np.int64))], ["k", "e", "n"])
+
+    counts = whole.select("codes").mapInArrow(count, "k long, e long, n long").groupBy("k").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
+    x = last.join(counts, "k", "left").where("n >= 4 or (words = 1 and n > 0)")
+    best = x.groupBy(key).agg(F.max_by(F.expr("10 * e >= n"), "words").alias("ended"))
+    return last.where("words = 1").select(key).join(best, key, "left").select(key, F.coalesce("ended", F.lit(False)).alias("ended"))
+
+
+def _sample(rows: DataFrame, key: str, n: int) -> np.ndarray:
+    """The codes of the sample, one response after another."""
+    keys = stored(smallest(rows.where(f"size(codes) <= {LONGEST}").select(key), key, n), "sample")
+    got = rows.select(key, "codes").join(F.broadcast(keys), key, "left_semi").toArrow()
+    got = got.sort_by(key)["codes"].combine_chunks()
+    return (got.flatten() if isinstance(got, pa.ListArray) else pa.concat_arrays([x.flatten() for x in got.chunks])).to_numpy(zero_copy_only=False)
+
+
+def refusals(rows: DataFrame, key: str, usual: int, model: WordModel) -> DataFrame:
+    """key of the rows (codes, n_sentences, template) that refuse. A short response with a template's opening does, unless a sentence after its first is none of a refusal by the word model; of
+    other openings, a response does all whose sentences are of one."""
+    kind = rows.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                part = b.slice(at, 2000)
-                found = pa.array(judge.defects(*[part.column(i).to_pylist() for i in (1, 2, 3)]), pa.string())
-                keep = found.is_valid()
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), found.filter(keep)], [key, "defect"])
-
-    return df.select(key, prompt, response, error).hint("rebalance", F.col(prompt)).mapInArrow(run, f"`{key}` {kind}, defect string")
+            for at in range(0, b.num_rows, 5000):
+                p = b.slice(at, 5000)
+                n = p.column(2).to_numpy(zero_copy_only=False)
+                known = p.column(3).to_numpy(zero_copy_only=False) & (n < usual)
+                # most responses are told by their first sentence
+                c = p.column(1).flatten().to_numpy(zero_copy_only=False)
+                end = c < 0
+                sent = np.cumsum(end) - end
+                start = np.cumsum(n) - n
+                opens = np.zeros(int(n.sum()), bool)
+                opens[start] = True
+                may = (model.scores(c[opens[sent]]) > 0) | known
+                p = p.filter(pa.array(may))
+                n, known = n[may], known[may]
+                if len(n):
+                    ok = model.scores(p.column(1).flatten().to_numpy(zero_copy_only=False)) > 0
+                    start = np.cumsum(n) - n
+                    ok[start[known]] = True
+                    yield pa.RecordBatch.from_arrays([p.column(0).filter(pa.array(np.logical_and.reduceat(ok, start)))], [key])
+
+    return rows.where("n_sentences > 0").select(key, "codes", "n_sentences", "template").mapInArrow(run, f"`{key}` {kind}")
+
+
+def defective(df: DataFrame, key: str, prompt: str, response: str, error: str, language: LanguageModel, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """key, defect of the rows that have one. A null response is empty; a null prompt is no language and is copied by nothing."""
+    x = read(df, key, prompt, response, error, language)
+    op = x.where("opening is not null").select("opening", "n_sentences", "prompt")
+    usual = usual_length(op)
+    known = stored(templates(op, usual), "templates").withColumn("template", F.lit(True))
+    x = x.join(known, "opening", "left").withColumn("template", F.coalesce("template", F.lit(False))).drop("opening", "prompt")
+    x = stored(x, "flagged")
+    short, whole = x.where(f"template and n_sentences < {usual} and kind is null"), x.where(f"not template and n_sentences >= {usual}")
+    model = WordModel.train(_sample(short, key, rows), _sample(whole, key, rows))
+    no = refusals(x.where("kind is null"), key, usual, model).withColumn("refused", F.lit(True))
+    last = ends(x, key, whole)
+    out = x.select(key, "kind", "broken", "cut", "foreign", F.col("tail").isNotNull().alias("open")).join(no, key, "left").join(last, key, "left")
+    cut = F.col("broken") | (F.col("open") & (F.col("cut") | ~F.coalesce("ended", F.lit(True))))
+    defect = F.coalesce("kind", F.when(F.col("refused"), "refusal").when(cut, "truncated").when(F.col("foreign"), "wrong_language"))
+    return out.select(key, defect.alias("defect")).where("defect is not null")
