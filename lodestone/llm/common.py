@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is set (local tests)."""
+    """The shared folder that the session names in spark.checkpoint.dir. Where none is set, a local session (tests) gets a temporary one; on a cluster, whose machines don't
+    share one, that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not d:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         d = tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -42,8 +47,32 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/lodestone/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    with tidy(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._lodestone_path = path
+    return out
+
+
+@contextlib.contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Queries within leave no shuffle files behind when they are done; they are for writes, whose result is read from files."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def discard(*parts: DataFrame | str) -> None:
+    """Files of stored tables that nothing reads any more, or a folder of ours."""
+    for x in parts:
+        path = x if isinstance(x, str) else x._lodestone_path
+        spark = SparkSession.getActiveSession()
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def smallest(df: DataFrame, key: str, rows: int) -> DataFrame:

@@ -16,17 +16,24 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import checkpoint_dir, later_deliveries, stored
+from lodestone.llm.common import checkpoint_dir, discard, later_deliveries, stored, tidy
 from lodestone.llm.wordsets import PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_segments, with_windows
 
 
 class SegmentIndex:
-    """Entries (k, no, n, at, bits) in tables bucketed by k. n is 0 for entries that match by k alone; of those the smallest no is kept. at is -1 for bands."""
+    """Entries (k, no, n, at, bits) in tables bucketed by k. n is 0 for entries that match by k alone; of those the smallest no is kept. at is -1 for bands.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
+    An index of a name that the catalog has is opened: what was appended to it, in whatever session, is found.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, name: str | None = None):
         self.spark = spark
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.tables: list[str] = []
+        self.prefix = f"lodestone_index_{name or uuid.uuid4().hex}_"
+        self.tables = sorted(t.name for t in spark.catalog.listTables(pattern=self.prefix + "*")) if name else []
+
+    def _path(self, table: str) -> str:
+        return f"{checkpoint_dir(self.spark)}/lodestone/{table}"
 
     def _keys(self, df: DataFrame, keys: list[Column]) -> DataFrame:
         kinds = F.array(*[F.when(c.isNotNull(), F.xxhash64(F.lit(f"key {i}"), c)) for i, c in enumerate(keys)])
@@ -39,12 +46,16 @@ class SegmentIndex:
         alone = alone.groupBy("k").agg(F.min("no").alias("no")).selectExpr("k", "no", "0 as n", "0 as at", "0L as bits")
         # of texts with the same words in the same order the first stands for all; only the later ones' numbers travel
         words = F.concat_ws(" ", "multiset", "n", F.xxhash64("segment"))
-        one = seg.join(stored(later_deliveries(seg, words, "no"), "later"), "no", "left_anti")
+        later = stored(later_deliveries(seg, words, "no"), "later")
+        one = seg.join(later, "no", "left_anti")
         parts = one.select(F.explode(F.arrays_zip("segment", "at")).alias("s"), "no", "n", "bits").select(F.col("s.segment").alias("k"), "no", "n", "s.at", "bits")
-        name = f"lodestone_index_{uuid.uuid4().hex}"
-        (alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd")
-            .option("path", f"{checkpoint_dir(self.spark)}/lodestone/{name}").saveAsTable(name))
+        name = f"{self.prefix}{len(self.tables):06d}"
+        with tidy(self.spark):
+            # in order of k, keys are stored in fewer bytes
+            entries = alone.unionByName(parts).repartition(self.buckets, "k").sortWithinPartitions("k")
+            entries.write.bucketBy(self.buckets, "k").option("compression", "zstd").option("path", self._path(name)).saveAsTable(name)
         self.tables.append(name)
+        discard(seg, later)
 
     def probe(self, df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
         """probe_no, no, sure: entries with a smaller no that match (sure) or may match one of df's rows."""
@@ -61,15 +72,18 @@ class SegmentIndex:
         parts = [first, functools.reduce(DataFrame.unionByName, later)] if later else [first]
         hits = [x.join(probes, "k").where("no < p_no").where(near | F.expr("n = 0 and p_n = 0")) for x in parts]
         hit = functools.reduce(DataFrame.unionByName, hits)
-        # hit segments as bits; seven words and at most 63 segments apart they have bits of their own
-        which = F.expr(f"if(n = 0 or at < 0, 0L, shiftleft(1L, (at div {SEGMENT}) % 63))")
-        g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.min("at").alias("at"), F.bit_count(F.bit_or(which)).alias("hits"))
-        need = F.expr(f"if(n < 28 or n div {SEGMENT} - n div {PER_SEGMENT} < 2, 1, 2)")
-        return g.where(F.col("sure") | (F.col("at") < 0) | (F.col("hits") >= need)).select(F.col("p_no").alias("probe_no"), "no", "sure")
+        # two segments are hit if the first and the last hit differ
+        g = hit.groupBy("p_no", "no").agg(F.max(F.col("n") == 0).alias("sure"), F.max("n").alias("n"), F.min("at").alias("at"), F.max("at").alias("last"))
+        one = F.expr(f"n < 28 or n div {SEGMENT} - n div {PER_SEGMENT} < 2")
+        out = stored(g.where(F.col("sure") | (F.col("at") < 0) | one | (F.col("at") < F.col("last"))).select(F.col("p_no").alias("probe_no"), "no", "sure"), "matches")
+        discard(win)
+        return out
 
     def drop(self) -> None:
         for name in self.tables:
             self.spark.sql(f"drop table if exists {name}")
+            discard(self._path(name))
+        self.tables = []
 
 
 def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Column], text: str = "text", together: int = 4) -> DataFrame:
@@ -86,7 +100,7 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Colu
     for i in range(0, len(waiting), together):
         part = incoming.where(functools.reduce(Column.__or__, [F.col(batch).eqNullSafe(F.lit(b)) for b in waiting[i : i + together]]))
         index.append(part, keys, text)
-        found.append(stored(index.probe(part, keys, text), "matches"))
+        found.append(index.probe(part, keys, text))
     index.drop()
     if not found:
         return history.select(F.col("no").alias("match_no"), "no").limit(0)
