@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,10 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
-    return confusables.consistent_texts(spread(table(spark, d, "attack_samples").select("sample_no", "text"))).select("sample_no", "canonical", "canonical_changed")
+    """The form of each sample's and each result's attack text: kind is `sample` or `result`, key its number."""
+    s = table(spark, d, "attack_samples").select(F.lit("sample").alias("kind"), F.col("sample_no").alias("key"), "text")
+    r = table(spark, d, "evaluation_results").select(F.lit("result").alias("kind"), F.col("result_no").alias("key"), F.col("attack_text").alias("text"))
+    return confusables.consistent_texts(spread(s.unionByName(r))).select("kind", "key", "canonical", "canonical_changed")
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------------------------
@@ -95,8 +99,7 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
 # 6 ---------------------------------------------------------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     df = spread(table(spark, d, "evaluation_results").select("result_no", "attack_text", "response_text", "error", "source_lang"))
-    judge = pairs.fit(df, "result_no", "attack_text", "response_text", language.fit(df, "result_no", "attack_text", "source_lang"))
-    return pairs.defective(df, "result_no", "attack_text", "response_text", "error", judge)
+    return pairs.defective(df, "result_no", "attack_text", "response_text", "error", language.fit(df, "result_no", "attack_text", "source_lang"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
@@ -143,10 +146,8 @@ def p9_uses(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     targets = [(r["source"], r["target_share"], r["max_repeats"]) for r in table(spark, d, "mix_targets").withColumn("source", mixing.source_key(F.col("source"))).collect()]
     own = spread(docs.withColumn("source", mixing.source_key(F.col("source"))).where(F.col("source").isin([t[0] for t in targets])))
-    lang = language.segments(own, "doc_id", "text", language.fit(docs, "doc_id", "text", "lang")).groupBy("doc_id").agg(F.max_by("lang", F.struct("n_chars", "lang")).alias("language"))
-    topic = _subjects(spark, d, own).groupBy("doc_id").agg(F.max_by("subject", F.struct("n_sentences", "subject")).alias("topic"))
-    sized = own.select("doc_id", "source", tokens.count_tokens(F.col("text")).alias("tokens"))
-    cells = sized.join(lang, "doc_id").join(topic, "doc_id", "left").withColumnRenamed("doc_id", "item")
+    own = own.select(F.col("doc_id").alias("item"), "source", "text")
+    cells = mixing.profiled(own, "item", "text", language.fit(docs, "doc_id", "text", "lang"), _subject_model(spark, d))
     out = mixing.mixed(cells, {t[0]: t[1] for t in targets}, {t[0]: t[2] for t in targets})
     return out.select(F.col("item").alias("doc_id"), "source", "language", "topic", F.col("tokens").alias("n_tokens"), "weight", "uses")
 
@@ -156,10 +157,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 # 10 --------------------------------------------------------------------------------------------------------------------------------
-def _subjects(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+def _subject_model(spark: SparkSession, d: str) -> subjects.SubjectModel:
     names = [r["subject"] for r in table(spark, d, "subjects").collect()]
-    model = subjects.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels"), names)
-    return subjects.document_subjects(docs, "doc_id", "text", model)
+    return subjects.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels"), names)
+
+
+def _subjects(spark: SparkSession, d: str, docs: DataFrame) -> DataFrame:
+    return subjects.document_subjects(docs, "doc_id", "text", _subject_model(spark, d))
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -175,7 +179,16 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
+    return {k: _prepared(f) for k, f in globals().items() if k.startswith("p") and k[1:2].isdigit()}
+
+
+def _prepared(f: Callable) -> Callable:
+    @functools.wraps(f)
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        confusables.prepare(spark)
+        return f(spark, d)
+
+    return run
 
 
 def oracle_sql() -> dict[str, str]:
