@@ -19,7 +19,7 @@ from lodestone.llm.common import stored
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
-    x, out = np.array(x, float), 0.0
+    x, out = np.maximum(np.array(x, float), 1e-300), 0.0
     for _ in range(8):  # shift upwards, then the asymptotic series
         out, x = out - 1 / x, x + 1
     i = 1 / x**2
@@ -52,8 +52,10 @@ def _counted(codes: np.ndarray, counts: np.ndarray, q: np.ndarray, size: int) ->
 class Community:
     """The fitted model. matrix[w, k, c]: how probably annotator w gives label c to an item of class k."""
 
-    def __init__(self, workers: list[str], classes: list[str], types: int = 3, strength: float = 10.0):
-        self.workers, self.classes, self.types, self.strength = workers, classes, types, strength
+    def __init__(self, workers: list[str], classes: list[str], types: int = 3, strength: float = 10.0, weight: float = 100.0):
+        """strength: labels that an annotator's types weigh against its own record. weight: labels that an annotator's record weighs at most in its types' matrices and in telling its
+        types, so that a type is its annotators' and not the busiest one's; its own matrix is made of all its labels."""
+        self.workers, self.classes, self.types, self.strength, self.weight = workers, classes, types, strength, weight
         n, k = len(workers), len(classes)
         # types start out from reliable to unreliable
         right = np.linspace(0.9, 1 / max(k, 1) + 0.1, types)
@@ -76,8 +78,7 @@ class Community:
         for _ in range(5):
             e = _expected_log(self.shared)
             weight = np.log((1 + self.resp.sum(0)) / (self.types + n))
-            # an annotator's counts speak for its type with the weight of at most 100 labels, so that types stay types
-            scale = np.minimum(1, 100 / np.maximum(counts.sum((1, 2)), 1))[:, None]
+            scale = np.minimum(1, self.weight / np.maximum(counts.sum((1, 2)), 1))[:, None]
             s = weight + scale * np.einsum("wkc,tkc->wt", counts, e)
             s = np.exp(s - s.max(1, keepdims=True))
             self.resp = s / s.sum(1, keepdims=True)
@@ -101,7 +102,7 @@ def latest_labels(df: DataFrame, item: Column, worker: Column, label: Column, wh
     return x.where("item is not null and worker is not null and label is not null").groupBy("item", "worker").agg(F.max_by("label", "at").alias("label"))
 
 
-def fit(labels: DataFrame, types: int = 3, iterations: int = 30, tolerance: float = 1e-3) -> tuple[Community, DataFrame]:
+def fit(labels: DataFrame, types: int = 3, iterations: int = 30, tolerance: float = 1e-3, weight: float = 100.0) -> tuple[Community, DataFrame]:
     """The model, and the items with their labels as arrays of codes. labels: item, worker, label, one row each item and worker.
 
     The annotators' and the classes' names are read to the driver, as they are the model's parameters; an item's array holds one code
@@ -115,7 +116,7 @@ def fit(labels: DataFrame, types: int = 3, iterations: int = 30, tolerance: floa
     names = labels.sparkSession.createDataFrame([(w, i) for i, w in enumerate(workers)], "worker string, w int")
     coded = labels.join(F.broadcast(names), "worker").withColumn("cs", F.array(*map(F.lit, classes)) if classes else F.array(F.lit(""))).select("item", (F.col("w") * k + code).alias("code"))
     items = stored(coded.groupBy("item").agg(F.sort_array(F.collect_list("code")).alias("codes")), "items")
-    model = Community(workers, classes, types)
+    model = Community(workers, classes, types, weight=weight)
     n = len(workers) * k
     for i in range(iterations if workers else 0):
         start = None if i == 0 else model.parameters()
