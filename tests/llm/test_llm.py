@@ -34,6 +34,16 @@ def test_look_alikes(a, b, same):
     assert (canonical(a) == canonical(b)) is same
 
 
+def test_published_look_alikes(spark):
+    confusables.prepare(spark)
+    for x, y in (("ⲟne", "one"), ("ꓐank", "Bank"), ("Ьank", "bank"), ("ꮃest", "west"), ("paypaⅼ", "paypal"), ("ցood", "good"), ("ⲟⲣⲥ", "opc"), ("ᏔᎬᏚᎢ", "WEST")):
+        assert canonical(x) == canonical(y), (x, canonical(x))
+    for x, y in (("l", "I"), ("rn", "m"), ("0", "O"), ("1", "l"), ("κаt", "kat"), ("かな", "カナ"), ("а1", "a l")):
+        assert canonical(x) != canonical(y)
+    assert canonical("Вот гора и ось, он пьёт сок") == "Вот гора и ось, он пьёт сок" and canonical("東京タワーへ行く") == "東京タワーへ行く"
+    assert [r[0] for r in spark.createDataFrame([("ꓐank",), (None,), ("",)], "t string").select(confusables.canonical_text(F.col("t"))).collect()] == ["Bank", None, ""]
+
+
 def test_mixed_tokens_take_the_settled_script():
     assert canonical("Она сказала: cобака и со мной") == "Она сказала: собака и со мной"
     assert canonical("the раypal со account") == "the paypal co account"
@@ -140,6 +150,15 @@ def test_consensus_follows_the_reliable(spark):
     assert min(r["good0"], r["good1"], r["rare"]) > 0.7 > max(r[f"bad{i}"] for i in range(5))
 
 
+def test_weight_of_an_annotator_in_its_types():
+    """A busy annotator's type isn't its record alone, which however stays its own."""
+    flat = np.concatenate([np.array([[900.0, 100.0], [100.0, 900.0]]).T.ravel(), np.array([[9.0, 1.0], [1.0, 9.0]]).T.ravel(), [1010.0, 1010.0]])
+    small, large = (consensus.Community(["a", "b"], ["x", "y"], 1, weight=w) for w in (100.0, 1e9))
+    for m in (small, large):
+        m.update(flat)
+    assert (small.shared.sum() - large.shared.sum()) < -1500 and np.allclose(small.matrix[0], large.matrix[0], atol=0.01)
+
+
 def test_labels_latest_and_empty(spark):
     df = spark.createDataFrame([("x", "m", "a", 1.0, 1), ("x", "m", "b", 2.0, 2), ("x", "m", None, 3.0, 3), (None, "m", "a", 1.0, 4), ("x", "n", "c", 1.0, 5), ("x", "n", "d", 1.0, 6)], "i string, w string, l string, t double, n long")
     lab = consensus.latest_labels(df, F.col("i"), F.col("w"), F.col("l"), F.col("t"), F.col("n"))
@@ -178,6 +197,38 @@ def test_components_and_splits(spark):
     assert grouping.grouped_splits(group.limit(0), [("train", 1.0)]).count() == 0
 
 
+def test_equal_components_are_placed_as_one_by_one():
+    rng = random.Random(4)
+    for _ in range(200):
+        need = [[rng.randrange(0, 40), rng.randrange(0, 40)] for _ in range(3)]
+        v, m = [rng.randrange(1, 4), rng.randrange(3)], rng.randrange(1, 30)
+        want, left = [0] * 3, [list(x) for x in need]
+        for _ in range(m):
+            s = max(range(3), key=lambda s: (left[s][0], -s))
+            want[s] += 1
+            left[s] = [a - b for a, b in zip(left[s], v)]
+        got = grouping._allotted(need, 0, v, m)
+        assert sum(got) == m and max(abs(a - b) for a, b in zip(got, want)) <= 1, (need, v, m, got, want)
+
+
+def test_small_components_are_stratified_by_their_labels(spark):
+    """Pairs of labels, a rare one and few vectors: each split has its share of each label, however vectors are rounded."""
+    rng = random.Random(6)
+    data, n = [], 0
+    for c in range(3000):
+        for label in rng.choices(["a", "b", "c", "rare"], [10, 6, 3, 0.3], k=rng.choice([1, 2, 2, 3, 9])):
+            data.append((n, c, label))
+            n += 1
+    df = spark.createDataFrame(data, "id long, component long, label string")
+    share = {"train": 0.8, "val": 0.1, "test": 0.1}
+    for most in (50_000, 20):
+        out = grouping.grouped_splits(df, list(share.items()), most).collect()
+        assert len(out) == n and all(len({r["split"] for r in g}) == 1 for _, g in itertools.groupby(sorted(out, key=lambda r: r["component"]), key=lambda r: r["component"]))
+        total, got = Counter(r["label"] for r in out), Counter((r["label"], r["split"]) for r in out)
+        for (x, s), k in got.items():
+            assert abs(k - share[s] * total[x]) <= max(4, 0.02 * total[x]), (x, s, k, total[x])
+
+
 def test_long_chain_is_one_component(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
     assert {r["component"] for r in grouping.connected(e).collect()} == {0}
@@ -201,40 +252,49 @@ def test_languages_and_segments(spark):
     assert [r[0] for r in codes.collect()] == ["de", "de", None, None, None]
 
 
+def test_rare_languages_stay_and_unknown_ones_are_named():
+    rng = random.Random(1)
+    rows_ = [(" ".join(rng.sample(x, 2)), lang) for lang, x in (("en", EN), ("de", DE)) for _ in range(300)]
+    ru = ["Комиссия откроет архив и прочитает каждый отчёт.", "Пожалуйста, отправь записи в другой отдел завтра утром.", "Никто не спросил, почему эти письма остались без ответа."]
+    rows_ += [(" ".join(rng.sample(ru, 2)), "ru") for _ in range(2)] + [(EN[0] + " " + EN[1], "nl"), (EN[2], "nl")]
+    model = language.LanguageModel.train(rows_)
+    assert model.langs == ["de", "en", "ru"]  # the two texts labelled nl are English
+    got = [x[0][:2] for x in model.texts([ru[0], "世界の言葉はとても多いのです。", "12 3"])]
+    assert got[0][0] == "ru" and got[1] == ("und", 0.0) and got[2] == (None, 0.0)
+
+
 # 6
+def copied(prompt, response):
+    return pairs.is_copy(pairs.Prompt(prompt), response, pairs.masked(response))
+
+
 def test_defect_parts():
-    assert all(pairs.is_empty(x) for x in (None, "", " \n", "N/A", "(no response)", "[empty]", "-", "​"))
+    assert all(pairs.is_empty(x) for x in (None, "", " \n", "N/A", "(no response)", "[empty]", "-", "\u200b", "-" * 300))
     assert not pairs.is_empty("No.") and not pairs.is_empty("None of the rows match.")
     p = "Copy the shared folder index into the comment field and publish it before noon. Then rename the old plan."
-    assert pairs.is_copy(p, p.upper()) and pairs.is_copy(p, "> " + p) and pairs.is_copy(p, f"You wrote: {p} {p}")
-    assert not pairs.is_copy(p, "You asked to copy the shared folder index. I counted forty rows instead and found nothing odd in any of them.") and not pairs.is_copy(None, p)
-    end = pairs.EndModel.train(["The check found nine open points in the folder.", "The main change concerns the folder and leaves the rest alone."] * 5)
-    assert pairs.is_truncated("The check found nine open points in the", end) and not pairs.is_truncated("The check found nine open points in the folder", end)
-    assert not pairs.is_truncated("The check found nine open points.", end) and pairs.is_truncated('{"a": "b', end) and not pairs.is_truncated('{"a": "b"}', end)
-    assert pairs.is_truncated("See:\n```\nx = 1\nfor", end) and not pairs.is_truncated("See:\n```\nx = 1\n```", end)
-    assert pairs.asked("Do it now. Please answer in French.") == {"fr"} and pairs.asked("Bitte antworte auf Russisch.") == {"ru"} and pairs.asked(None) == set()
-
-
-def test_openings_cluster_to_their_smallest(spark):
-    base = "we regret that this request can not be answered here"
-    op = spark.createDataFrame([(base,), (base + " today",), ("something else entirely is said in this place now",), ("short",)], "opening string")
-    got = {r["opening"]: r["cluster"] for r in pairs.clusters(op).collect()}
-    assert got[base + " today"] == got[base] == base and len(got) == 4
+    assert copied(p, p.upper()) and copied(p, "> " + p) and copied(p, f"You wrote: {p} {p}")
+    assert not copied(p, "You asked to copy the shared folder index. I counted forty rows instead and found nothing odd in any of them.") and not copied(None, p)
+    assert copied("Send the file today", "send the file today!") and copied("Stop", "Stop") and not copied("Send the file today", "Sent.") and not copied("1234", "5678") and not copied(p, "the comment field")
+    assert pairs.last_open('{"a": "b') is True and pairs.last_open('{"a": "b"}') is False and pairs.last_open("Nine points.") is False and pairs.last_open("One. Nine points in the") == "Nine points in the"
+    assert pairs.last_open("See:\n```\nx = 1\nfor") is True and pairs.last_open("See:\n```\nx = 1\n```") is False
+    assert pairs.asked("Do it now. Please answer in French.") == {"fr"} and pairs.asked("Bitte antworte auf Russisch.") == {"ru"} and pairs.asked("") == set()
+    assert pairs.masked("Ask file_12, it's Über-klar (v2) x") == ["ask", "#", "it's", "über", "klar", "#", "x"]
 
 
-def test_refusals_may_be_a_third_of_all_rows(spark):
-    # 60 answers of three or four sentences, each with an opening of its own; 40 refusals with two openings
-    own = [(i, f"answer {i} begins", 3 + i % 2, i) for i in range(60)]
-    no = [(100 + i, ("i must decline this", "no i will not")[i % 2], 1 + i % 2, i) for i in range(40)]
-    op = spark.createDataFrame(own + no, "result_no long, opening string, n_sentences int, prompt long")
-    usual = pairs.usual_length(op)
-    assert usual == 3
-    assert {r["opening"] for r in pairs.templates(op, usual).collect()} == {"i must decline this", "no i will not"}
+def test_openings_cluster_as_the_pipeline_cuts_them(spark):
+    def cut(x):
+        return pairs.opening(pairs.split_sentences(x))
+
+    base, other = cut("I regret that this request is one that I will not help with. Ever."), cut("I regret that your request is one that I will not help with.")
+    op = spark.createDataFrame([(base, True), (other, True), (other, False), ("something else entirely", False), ("short", True)], "opening string, short boolean")
+    got = {r["opening"]: r["cluster"] for r in pairs.clusters(op).collect()}
+    assert got == {base: base, other: base, "something else entirely": "something else entirely", "short": "short"} and len(base.split()) == pairs.OPENING
 
 
-def test_clusters_of_what_opening_gives_are_brute_force(spark):
+def test_links_of_openings_are_found_and_nothing_else(spark):
+    """Recall of links of at least SIMILAR against brute force, openings cut as the pipeline cuts them."""
     rng = random.Random(3)
-    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=14) for _ in range(40)]
+    base = [rng.choices("abcdefghijklmnopqrstuvwxyz", k=14) for _ in range(60)]
     said = []
     for w in base:
         for _ in range(6):
@@ -242,34 +302,87 @@ def test_clusters_of_what_opening_gives_are_brute_force(spark):
             for _ in range(rng.randrange(3)):
                 rng.choice([lambda: x.pop(rng.randrange(len(x))), lambda: x.insert(rng.randrange(len(x)), rng.choice("äöüß")), lambda: x.__setitem__(rng.randrange(len(x)), rng.choice("äöüß"))])()
             said.append(" ".join(x) + ".")
-    own = sorted({pairs.opening(x)[0] for x in said} - {""})
+    own = sorted({pairs.opening([x]) for x in said} - {""})
     to = {x: x for x in own}
 
     def top(x):
         return x if to[x] == x else top(to[x])
 
+    links = []
     for a, b in itertools.combinations(own, 2):
         x, y = Counter(a.split()), Counter(b.split())
         if 5 * (x & y).total() >= 4 * (x | y).total():
-            a, b = sorted((top(a), top(b)))
-            to[b] = a
-    got = {r["opening"]: r["cluster"] for r in pairs.clusters(spark.createDataFrame([(x,) for x in own], "opening string")).collect()}
-    assert got == {x: top(x) for x in own} and len(set(got.values())) < len(own)
-    a, b = (pairs.opening(f"I regret that {x} request is one that I will not help with.")[0] for x in ("this", "your"))
-    got = {r["opening"]: r["cluster"] for r in pairs.clusters(spark.createDataFrame([(a,), (b,)], "opening string")).collect()}
-    assert got == {a: a, b: a}
+            links.append((a, b))
+            u, v = sorted((top(a), top(b)))
+            to[v] = u
+    got = {r["opening"]: r["cluster"] for r in pairs.clusters(spark.createDataFrame([(x, True) for x in own], "opening string, short boolean")).collect()}
+    assert len(got) == len(own) and len(links) > 50
+    assert all(top(x) == top(c) for x, c in got.items())  # nothing else
+    found = sum(got[a] == got[b] for a, b in links) / len(links)
+    assert found >= 0.97, found
+
+
+def test_refusals_may_be_a_third_of_all_rows(spark):
+    # 60 answers of three or four sentences, each with an opening of its own; 40 refusals with two openings
+    own = [(i, f"answer {i} begins", 3 + i % 2, i) for i in range(60)]
+    no = [(100 + i, ("i must decline this", "no i will not")[i % 2], 1 + i % 2, i) for i in range(40)]
+    op = spark.createDataFrame(own + no, "result_no long, opening string, n_sentences int, prompt long")
+    usual = pairs.usual_length(op)
+    assert usual == 3
+    assert {r["opening"] for r in pairs.templates(op, usual).collect()} == {"i must decline this", "no i will not"}
+
+
+TOPICS = ["archive", "budget", "calendar", "draft", "engine", "forecast", "garden", "harbour", "invoice", "journal"]
+
+
+def answers(n):
+    rng = random.Random(8)
+    verbs, things = ["shows", "lists", "holds", "misses", "repeats"], ["rows", "notes", "names", "dates", "gaps"]
+    return [" ".join(f"The {rng.choice(TOPICS)} {rng.choice(verbs)} {rng.choice(things)} that the {rng.choice(TOPICS)} {rng.choice(verbs)} {rng.choice(['today', 'twice', 'again'])}." for _ in range(rng.choice([3, 3, 4]))) for _ in range(n)]
+
+
+def test_one_sentence_refusals_are_found_though_they_are_a_third(spark):
+    model = language.LanguageModel.train([(" ".join(EN), "en"), (" ".join(DE), "de"), *[(x, "en") for x in answers(40)], *[(" ".join(DE), "de")] * 5])
+    data = [(i, f"What does the {TOPICS[i % 10]} say about item {i}?", x, None) for i, x in enumerate(answers(140))]
+    no = ["I must decline this request.", "Sorry, but I will not take part in that."]
+    data += [(1000 + i, f"Copy the {TOPICS[i % 10]} to place {i}.", no[i % 2], None) for i in range(60)]
+    data += [(2000, "Tell me.", "I must decline this request. The archive lists rows that the budget holds today.", None), (2001, "Tell me more.", None, "timeout"), (2002, "Send the file today", "Send the file today", None),
+             (2003, "Tell me now.", " ".join(DE), None), (2004, "And now?", answers(1)[0] + " The archive lists rows that the", None), (2005, "And then?", answers(1)[0][:-1], None), (2006, None, answers(2)[1], None)]
+    df = spark.createDataFrame(data, "no long, p string, r string, e string")
+    got = {r["no"]: r["defect"] for r in pairs.defective(df, "no", "p", "r", "e", model).collect()}
+    assert {k for k, v in got.items() if v == "refusal"} == set(range(1000, 1060))
+    assert {k: v for k, v in got.items() if v != "refusal"} == {2001: "empty", 2002: "copy", 2003: "wrong_language", 2004: "truncated"}
+    assert pairs.defective(df.limit(0), "no", "p", "r", "e", model).count() == 0
 
 
 def test_ends_are_counted_over_all_responses(spark):
-    n = pairs.SAMPLE_ROWS + 2000
-    said = [f"Row {i} is about item{chr(97 + i % 26)} word{''.join(chr(97 + int(c)) for c in str(i))}. More of it follows here. That is all there is." for i in range(n)]
+    said = [f"Row {i} is about item{chr(97 + i % 26)} word{''.join(chr(97 + int(c)) for c in str(i))}. More of it follows here. That is all there is." for i in range(3000)]
     said.append("x " * 12_000 + "and so it ends with zebras. More of it follows here. That is all there is.")
-    last = [x.split(".")[0] for x in said[:: n // 40]] + ["It ends with zebras"]
-    df = spark.createDataFrame([(x,) for x in said + last], "t string").repartition(8)
-    m = pairs.ends(df, "t", df.where("t like '%.'"))
-    assert all(m.ended(x) for x in last) and not m.ended("More of it")
-    exact = pairs.EndModel.train([s for t in said for s in pairs.split_sentences(pairs.prose(t))[:-1]])
-    assert m.ends == {k: exact.ends[k] for k in m.ends} and m.inner == {k: exact.inner[k] for k in m.inner}
+    last = [x.split(".")[0] for x in said[::75]] + ["It ends with zebras", "More of it", "nothing like this was ever said"]
+
+    def tail(x):
+        return [pairs.START, pairs.START, *pairs.codes(pairs.masked(x)).tolist()][-3:]
+
+    rows_ = [(i, None, pairs.coded(pairs.split_sentences(x)).tolist()) for i, x in enumerate(said)] + [(10_000 + i, tail(x), []) for i, x in enumerate(last)]
+    df = spark.createDataFrame(rows_, "no long, tail array<int>, codes array<int>").repartition(8)
+    got = {r["no"] - 10_000: r["ended"] for r in pairs.ends(df, "no", df.where("tail is null")).collect()}
+    ends_, inner = Counter(), Counter()
+    for x in said:
+        for s in pairs.split_sentences(x)[:-1]:
+            w = ["^", "^", *pairs.masked(s)]
+            for i in range(2, len(w)):
+                for n in (1, 2, 3):
+                    (ends_ if i == len(w) - 1 else inner)[tuple(w[i - n + 1 : i + 1])] += 1
+
+    def ended(x):
+        w = ["^", "^", *pairs.masked(x)]
+        for n in (3, 2, 1):
+            k = tuple(w[-n:])
+            if ends_[k] + inner[k] >= 4 or (n == 1 and ends_[k] + inner[k]):
+                return ends_[k] >= 0.1 * (ends_[k] + inner[k])
+        return False
+
+    assert got == {i: ended(x) for i, x in enumerate(last)} and sum(got.values()) > 30 and not got[len(last) - 1]
 
 
 # 7
@@ -319,6 +432,20 @@ def test_history_finds_scattered_and_reordered_copies(spark):
     assert {r["no"]: r["match_no"] for r in found.collect()} == {1000 + i: i for i in range(120)}
 
 
+def test_index_is_opened_by_name(spark):
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(700))
+    df = spark.createDataFrame([(i, words(i), f"id{i}") for i in range(3)], "no long, text string, id string")
+    history.SegmentIndex(spark, name="kept").append(df, [F.col("id")])
+    # in a long text two far segments are left whole
+    w = words(2).split()
+    far = " ".join(w[:14] + [f"n{j}" for j in range(70)] + w[84:])
+    new = spark.createDataFrame([(10, far, "x"), (11, "something new", "id1"), (12, None, None)], "no long, text string, id string")
+    index = history.SegmentIndex(spark, name="kept")
+    assert {(r["probe_no"], r["no"]) for r in index.probe(new, [F.col("id")]).collect()} == {(10, 2), (11, 1)}
+    index.drop()
+    assert history.SegmentIndex(spark, name="kept").tables == []
+
+
 # 8
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 50), st.integers(1, 40), max_size=20))
@@ -373,6 +500,23 @@ def test_mixture_meets_shares_within_repeats(spark):
     assert size == 60.0 and abs(w["a", "en", ""] - 0.3) < 1e-9 and w["b", "en", ""] == 3
 
 
+def test_small_weights_are_met_too(spark):
+    """Of a large source only a thousandth is used: its order is cut at quantiles, the share is met."""
+    docs = [(i, "web" if i % 100 else "tiny", "en", None, 10 + i % 7) for i in range(40_000)]
+    df = spark.createDataFrame(docs, "item long, source string, language string, topic string, tokens int")
+    got = mixing.mixed(df, {"web": 0.2, "tiny": 0.8}, {"web": 1, "tiny": 1}).groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("n")).collect()
+    n = {r["source"]: r["n"] for r in got}
+    assert abs(n["web"] / sum(n.values()) - 0.2) < 0.01
+
+
+def test_profile_is_one_reading_of_the_text(spark):
+    lang = language.LanguageModel.train([(" ".join(x), k) for k, x in (("en", EN), ("de", DE)) for _ in range(4)])
+    model = subjects.SubjectModel.train([(" ".join(EN), "a", True)], ["a"])
+    df = spark.createDataFrame([(1, "s", EN[0]), (2, "s", None), (3, "s", ""), (4, "t", DE[1] + "\n" + DE[0])], "item long, source string, text string")
+    got = {r["item"]: (r["tokens"], r["language"]) for r in mixing.profiled(df, "item", "text", lang, model).collect()}
+    assert got[2] == got[3] == (0, None) and got[1][1] == "en" and got[4][1] == "de" and got[1][0] == len(tokens.encoding().encode_ordinary(EN[0]))
+
+
 # 10
 def test_subjects_by_paragraph(spark):
     cook = ["Simmer the broth with onion and garlic.", "Whisk the eggs with sugar until pale.", "Bake the loaf in a hot oven.", "Fold the cream into the pastry."]
@@ -399,7 +543,7 @@ def test_subjects_count_all_documents(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     lab = spark.createDataFrame([(i, "cooking") for i in range(30)], "doc_id long, subject string")
     model = subjects.fit(df, lab, ["cooking", "law"])
-    u, _, b, _ = subjects._codes([s for _, t in docs for p in subjects.paragraphs(t) for s in p])
+    u, b, _ = subjects._codes([s for _, t in docs for p in subjects.paragraphs(t) for s in p])
     assert (model.all_words == np.bincount(u, minlength=subjects.SIZE)).all() and (model.all_pairs == np.bincount(b, minlength=subjects.PAIRS)).all()
     assert (model.words.sum(0) <= model.all_words).all()
 
