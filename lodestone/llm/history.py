@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint_dir, discard, later_deliveries, stored, tidy
-from lodestone.llm.wordsets import PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_segments, with_windows
+from lodestone.llm.wordsets import BANDS, PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_segments, with_windows
 
 
 class SegmentIndex:
@@ -48,12 +48,12 @@ class SegmentIndex:
         words = F.concat_ws(" ", "multiset", "n", F.xxhash64("segment"))
         later = stored(later_deliveries(seg, words, "no"), "later")
         one = seg.join(later, "no", "left_anti")
-        parts = one.select(F.explode(F.arrays_zip("segment", "at")).alias("s"), "no", "n", "bits").select(F.col("s.segment").alias("k"), "no", "n", "s.at", "bits")
+        # the segments, at equal distances, are followed by the bands
+        at = F.expr(f"if(pos < size(segment) - {BANDS}, cast(pos * cast(n as bigint) div (size(segment) - {BANDS}) as int), -1)")
+        parts = one.select("segment", "no", "n", "bits", F.posexplode("segment").alias("pos", "k")).select("k", "no", "n", at.alias("at"), "bits")
         name = f"{self.prefix}{len(self.tables):06d}"
         with tidy(self.spark):
-            # in order of k, keys are stored in fewer bytes
-            entries = alone.unionByName(parts).repartition(self.buckets, "k").sortWithinPartitions("k")
-            entries.write.bucketBy(self.buckets, "k").option("compression", "zstd").option("path", self._path(name)).saveAsTable(name)
+            alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd").option("path", self._path(name)).saveAsTable(name)
         self.tables.append(name)
         discard(seg, later)
 

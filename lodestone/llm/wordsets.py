@@ -11,6 +11,7 @@ their intersection.
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -40,26 +41,39 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
-def words(text: str | None) -> list[str]:
-    return [] if text is None else WORD.findall(canonical(text).lower())
+class _Ids(dict):
+    """What stands between blanks (lower case) -> the numbers of its words in _HASHES, filled in as it occurs."""
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        global _HASHES
+        out = []
+        for x in WORD.findall(token):
+            k = _MEMO.get(x)
+            if k is None:
+                k = _MEMO[x] = len(_MEMO)
+                if k >= len(_HASHES):
+                    _HASHES = np.concatenate([_HASHES, np.zeros_like(_HASHES)])
+                _HASHES[k] = xxhash.xxh3_64_intdigest(x)
+            out.append(k)
+        self[token] = got = tuple(out)
+        return got
+
+
+_IDS = _Ids()
 
 
 def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all words of all texts, and the number of words of each text."""
-    global _HASHES
-    if len(_MEMO) > _MOST_WORDS:
+    if len(_IDS) > _MOST_WORDS:
+        _IDS.clear()
         _MEMO.clear()
     ids: list[int] = []
     counts = np.zeros(len(texts), np.int64)
     for i, t in enumerate(texts):
-        w = words(t)
-        counts[i] = len(w)
-        for x in set(w).difference(_MEMO):
-            k = _MEMO[x] = len(_MEMO)
-            if k >= len(_HASHES):
-                _HASHES = np.concatenate([_HASHES, np.zeros_like(_HASHES)])
-            _HASHES[k] = xxhash.xxh3_64_intdigest(x)
-        ids.extend(map(_MEMO.__getitem__, w))
+        if t is not None:
+            before = len(ids)
+            ids.extend(itertools.chain.from_iterable(map(_IDS.__getitem__, canonical(t).lower().split())))
+            counts[i] = len(ids) - before
     return _HASHES[np.array(ids, np.int64)], counts
 
 
@@ -174,6 +188,7 @@ def segments_of(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _segments(s: Sketch) -> list[pa.Array]:
+    """Segment i of g starts at word i n / g."""
     g, size = segments_of(s.n)
     doc = np.repeat(np.arange(len(g)), g)
     lo = (np.arange(len(doc)) - np.repeat(np.cumsum(g) - g, g)) * s.n[doc] // g[doc]
@@ -190,8 +205,8 @@ def _with_bands(s: Sketch, found: list[pa.Array]) -> list[pa.Array]:
 
 
 def with_segments(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset, segment (array of long: hashes of the segments, then of the MinHash bands) and at (their positions, -1 for bands)."""
-    return _mapped(df, "segment array<bigint>, at array<int>", lambda s: _with_bands(s, _segments(s)))
+    """Adds n, bits, multiset and segment (array of long: hashes of the segments, in order, then of the MinHash bands)."""
+    return _mapped(df, "segment array<bigint>", lambda s: _with_bands(s, _segments(s))[:1])
 
 
 @functools.lru_cache(10_000)
