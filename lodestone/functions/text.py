@@ -14,6 +14,22 @@ ZERO_WIDTH = "[​‌‍⁠﻿]"
 FOLD_FROM = "аеорсухіјѕАВЕКМНОРСТХІЈЅοιΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 FOLD_TO = "aeopcyxijsABEKMHOPCTXIJSoiABEZHIKMNOPTYX"
 
+#: Full-width signs and odd blanks with what they print as; look-alikes as above.
+PLAIN_FROM = FOLD_FROM + "".join(map(chr, range(0xFF01, 0xFF5F))) + "\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
+PLAIN_TO = FOLD_TO + "".join(map(chr, range(0x21, 0x7F))) + " " * 15
+INVISIBLE = "[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]"
+
+
+def plain(c: Column) -> Column:
+    """The text as it prints, in ordinary letters: what rules look at. Plain ASCII stays as it is."""
+    return F.when(c.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(c, PLAIN_FROM, PLAIN_TO), INVISIBLE, "")).otherwise(c)
+
+
+def plain_sql(text: str) -> str:
+    """plain() in SQL."""
+    a, b = (v.replace("'", "''") for v in (PLAIN_FROM, PLAIN_TO))
+    return f"regexp_replace(translate({text}, '{a}', '{b}'), '{INVISIBLE}', '', 'g')"
+
 
 @F.arrow_udf(T.StringType())
 def _nfkc(texts: pa.Array) -> pa.Array:

@@ -57,9 +57,9 @@ def unicode_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""select f.doc_id, f.rule_id, f.category, f.confidence from ({rules.findings_sql(ALL, 'documents', 'doc_id', 'text')}) f
-    where not (f.rule_id = 'account_reference' or (f.category = 'pii' and f.rule_id = 'ipv4') or f.category = 'concealment')""")
+    where not (f.rule_id = 'account_reference' or (f.category = 'pii' and f.rule_id = 'ipv4') or f.category = 'encoding_attack')""")
 def suppressed_findings(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.createDataFrame([("account_reference", None), ("ipv4", "pii"), (None, "concealment")], "rule_id string, category string")
+    s = spark.createDataFrame([("account_reference", None), ("ipv4", "pii"), (None, "encoding_attack")], "rule_id string, category string")
     return rules.suppress(doc_findings(spark, d), s).select("doc_id", "rule_id", "category", "confidence")
 
 
