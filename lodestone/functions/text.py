@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+import re
 import unicodedata
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -41,6 +44,37 @@ def nfkc(c: Column) -> Column:
     return F.coalesce(_nfkc(F.when(c.rlike(r"[^\x00-\x7F]"), c)), c)
 
 
+_COUNTS = T.StructType([T.StructField("n_chars", T.LongType()), T.StructField("n_distinct", T.LongType()), T.StructField("entropy", T.DoubleType())])
+
+
+@F.arrow_udf(_COUNTS)
+def char_counts(texts: pa.Array) -> pa.Array:
+    """Characters, different ones, and their entropy in bits; of a null or empty text 0."""
+    out = []
+    for t in texts.to_pylist():
+        n, k = len(t or ""), Counter(t or "")
+        out.append({"n_chars": n, "n_distinct": len(k), "entropy": math.log2(n) - sum(c * math.log2(c) for c in k.values()) / n if n else 0.0})
+    return pa.array(out, pa.struct([("n_chars", pa.int64()), ("n_distinct", pa.int64()), ("entropy", pa.float64())]))
+
+
+def common_words(c: Column, k: int, least: int) -> Column:
+    """Words of at least `least` signs: their number, the number that the k commonest have together, and that of the commonest."""
+
+    @F.arrow_udf(T.StructType([T.StructField(x, T.LongType()) for x in ("n_words", "top", "most")]))
+    def count(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts.to_pylist():
+            n = Counter(w for w in _TOKEN.findall((t or "").lower()) if len(w) >= least)
+            top = n.most_common(k)
+            out.append({"n_words": n.total(), "top": sum(x for _, x in top), "most": top[0][1] if top else 0})
+        return pa.array(out, pa.struct([(x, pa.int64()) for x in ("n_words", "top", "most")]))
+
+    return count(c)
+
+
+_TOKEN = re.compile("[a-z0-9_']+")
+
+
 def fold(c: Column) -> Column:
     return F.translate(c, FOLD_FROM, FOLD_TO)
 

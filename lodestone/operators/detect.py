@@ -16,10 +16,29 @@ def by_score(df: DataFrame, score: str, positive: str) -> DataFrame:
     return x.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(positive), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(positive), 0).otherwise(1)).alias("n"))
 
 
+def running(c: DataFrame, by: str, sums: dict[str, str], descending: bool = True, parts: int = 64) -> DataFrame:
+    """c with, for each column of `sums`, its sum over the rows from the first up to this one in the order of `by`, under the name given. `by` has no equal values.
+
+    Rows are cut into ranges of about equal length, of which only the sums are read to the driver; within a range the sum runs on. So no task sorts all rows.
+    """
+    spark = c.sparkSession
+    cuts = c.agg(F.percentile_approx(by, [i / parts for i in range(1, parts)], 10_000)).first()[0] or []
+    own = c.withColumn("_part", sum(((F.col(by) > x).cast("int") for x in sorted(set(cuts))), F.lit(0)))
+    own = own.withColumn("_part", -F.col("_part")) if descending else own
+    got = sorted((tuple(r) for r in own.groupBy("_part").agg(*[F.sum(x) for x in sums]).collect()), key=lambda r: r[0])
+    before, at = [], [0] * len(sums)
+    for part, *n in got:
+        before.append((part, *at))
+        at = [a + (b or 0) for a, b in zip(at, n, strict=True)]
+    offsets = spark.createDataFrame(before, "_part int, " + ", ".join(f"_b{i} long" for i in range(len(sums))))
+    w = W.partitionBy("_part").orderBy(F.desc(by) if descending else by).rowsBetween(W.unboundedPreceding, 0)
+    x = own.join(F.broadcast(offsets), "_part")
+    return x.select(*c.columns, *[(F.sum(n).over(w) + F.col(f"_b{i}")).alias(out) for i, (n, out) in enumerate(sums.items())])
+
+
 def _above(c: DataFrame) -> DataFrame:
     """With tp, fp: those of this score or a higher one."""
-    w = W.partitionBy(F.lit(0)).orderBy(F.desc("s")).rowsBetween(W.unboundedPreceding, 0)
-    return c.withColumn("tp", F.sum("p").over(w)).withColumn("fp", F.sum("n").over(w))
+    return running(c, "s", {"p": "tp", "n": "fp"})
 
 
 def auc(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -60,9 +79,8 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
 
     def ranks(c: str) -> DataFrame:
-        n = d.groupBy(c).agg(F.count("*").alias("k"))
-        w = W.partitionBy(F.lit(0)).orderBy(c).rowsBetween(W.unboundedPreceding, 0)
-        return n.select(c, (F.sum("k").over(w) - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
+        n = running(d.groupBy(c).agg(F.count("*").alias("k")), c, {"k": "upto"}, False)
+        return n.select(c, (F.col("upto") - (F.col("k") - 1) / 2).alias(f"rank_{c}"))
 
     r = d.join(ranks(x), x).join(ranks(y), y)
     return r.agg(F.count("*").alias("n"), F.round(F.corr(f"rank_{x}", f"rank_{y}"), 6).alias("rho"))

@@ -14,10 +14,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HIDING = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$)|font-size\s*:\s*0")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
+def hides(style: str | None) -> bool:
+    """Whether a style's declarations hide what they apply to: shown not at all, without size, see-through, or far off."""
+    for declaration in (style or "").lower().split(";"):
+        name, _, value = (x.strip() for x in declaration.partition(":"))
+        value = value.removesuffix("!important").strip()
+        number = re.match(r"-?[0-9.]+", value)
+        amount = float(number[0]) if number and number[0].strip("-.").replace(".", "", 1).isdigit() else None
+        if (name, value) in {("display", "none"), ("visibility", "hidden"), ("visibility", "collapse"), ("color", "transparent")}:
+            return True
+        if name in ("opacity", "font-size", "max-height", "max-width") and amount == 0:
+            return True
+        if name in ("left", "top", "text-indent", "margin-left") and amount is not None and amount <= -500:
+            return True
+    return False
+
+
 def content_type(text: Column) -> Column:
     """pdf, html, markdown (two marks at least) or plain, by what the text begins with."""
     head = F.substring(text, 1, 4096)
@@ -37,7 +52,7 @@ class _Parts(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         a = {k: v or "" for k, v in attrs}
-        hide = tag in ("script", "style", "template", "noscript") or "hidden" in a or a.get("aria-hidden") == "true" or bool(HIDING.search(a.get("style", "")))
+        hide = tag in ("script", "style", "template", "noscript") or "hidden" in a or a.get("aria-hidden") == "true" or hides(a.get("style"))
         self.hidden += [a[k] for k in ("alt", "title", "aria-label", "content") if a.get(k)]
         if tag not in VOID:
             self.open.append((tag, hide))
@@ -86,7 +101,7 @@ def png_texts(data: bytes) -> list[str]:
         elif kind == b"zTXt" and b"\0\0" in body:
             name, _, packed = body.partition(b"\0\0")
             try:
-                out.append(f"{name.decode('latin-1')}: {zlib.decompressobj().decompress(packed, 1 << 20).decode('latin-1')}")
+                out.append(f"{name.decode('latin-1')}: {zlib.decompress(packed).decode('latin-1')}")
             except zlib.error:
                 pass
         at += 12 + n
@@ -103,17 +118,19 @@ def jpeg_texts(data: bytes) -> list[str]:
     return out
 
 
-def office_texts(data: bytes, parts: int = 200, size: int = 10_000_000) -> list[str]:
-    """Texts of an Office file's parts, and findings: macros, outside links, hidden text. A part's share of `size` bytes is read at most, against packed bombs."""
+def office_texts(data: bytes, size: int = 50_000_000) -> list[str]:
+    """Texts of an Office file's parts, and findings: macros, outside links, hidden text. A part that unpacks to more than `size` bytes is reported instead of read: it is a packed bomb."""
     out = []
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for i in z.infolist()[:parts]:
+            for i in z.infolist():
                 if i.filename.lower().endswith("vbaproject.bin"):
                     out.append("macro: " + i.filename)
+                elif i.file_size > size:
+                    out.append(f"too large: {i.filename}")
                 elif i.filename.endswith((".xml", ".rels")):
                     with z.open(i) as f:
-                        x = f.read(size).decode("utf-8", "replace")
+                        x = f.read().decode("utf-8", "replace")
                     out += ["external: " + y for y in re.findall(r'Target="(https?://[^"]+)"[^>]*TargetMode="External"', x)]
                     out += ["hidden: " + i.filename] * ("<w:vanish" in x)
                     out.append(" ".join(re.findall(r"<(?:w|a):t[^>]*>([^<]+)<", x)))

@@ -44,19 +44,29 @@ FLOW = [
 
 
 def glob_regex(glob: str) -> str:
-    """A glob (* ? and sets) as a pattern for whole strings."""
-    return "^" + "".join({"*": ".*", "?": "."}.get(c, re.escape(c)) for c in glob) + "$"
-
-
-def flow_decision(labels: Column, tool: Column, rules: list[FlowRule] = FLOW, default: str = "allow") -> Column:
-    """The decision for data with these labels into this tool. No label: allow. All labels trusted: what would be asked is allowed."""
+    """A glob (*, ?, sets as [ab], [a-z], [!ab]) as a pattern for whole strings; a bracket that isn't closed is itself."""
+    out, i = "", 0
+    while i < len(glob):
+        c, end = glob[i], glob.find("]", i + 2 + (glob[i + 1 : i + 2] == "!"))
+        if c == "[" and end > 0:
+            inner = glob[i + 1 : end].replace("\\", "\\\\")
+            out += "[" + ("^" + inner[1:] if inner[0] == "!" else "\\" + inner if inner[0] == "^" else inner) + "]"
+            i = end
+        else:
+            out += {"*": "(?s:.*)", "?": "(?s:.)"}.get(c, re.escape(c))
+        i += 1
+    return "^" + out + "$"
+
+
+def flow_decision(labels: Column, tool: Column, rules: list[FlowRule] = FLOW, default: str = "ask_user") -> Column:
+    """The decision for data with these labels into this tool. No label: allow. All labels trusted: what would be asked is allowed. Where no rule applies, the default holds, which asks."""
     trusted = F.array(*[F.lit(x) for x, t, _ in LABELS if t == "trusted"])
     first = F.lit(default)
     for r in sorted(rules, key=lambda r: r.priority):
         at = F.lit(True) if "*" in r.tools else tool.isin(r.tools)
         first = F.when(at & F.arrays_overlap(labels, F.array(*map(F.lit, r.labels))), r.decision).otherwise(first)
     clean = F.size(F.array_except(labels, trusted)) == 0
-    return F.when(F.size(labels) <= 0, "allow").when(clean & (first == "ask_user"), "allow").otherwise(first)
+    return F.when(labels.isNull() | (F.size(labels) <= 0), "allow").when(clean & (first == "ask_user"), "allow").otherwise(first)
 
 
 def risk_level(label: Column, trust: Column) -> Column:
@@ -67,6 +77,23 @@ def risk_level(label: Column, trust: Column) -> Column:
     return F.when(trust == "trusted", 0).when(trust == "untrusted", F.greatest(base, F.lit(7))).otherwise(base)
 
 
+class Chosen(NamedTuple):
+    """A rule whose condition is a Column over the calls."""
+
+    name: str
+    priority: int
+    action: str
+    condition: Column
+
+
+def chosen(rules: list[Chosen], default: str) -> list[Column]:
+    """`action` and `rule` of the matching rule with the highest priority (of equals the first by name), else the default and null: one projection for a rule set that the driver has."""
+    action, name = F.lit(default), F.lit(None).cast("string")
+    for r in sorted(rules, key=lambda r: (r.priority, [-ord(c) for c in r.name])):
+        action, name = F.when(r.condition, r.action).otherwise(action), F.when(r.condition, r.name).otherwise(name)
+    return [action.alias("action"), name.alias("rule")]
+
+
 def first_match(calls: DataFrame, rules: DataFrame, looked_at: list[str], condition: Column, default: str) -> DataFrame:
     """calls with `action` and `rule`: those of the matching rule with the highest priority (of equals the first by name), else the default and null.
 
@@ -80,20 +107,46 @@ def first_match(calls: DataFrame, rules: DataFrame, looked_at: list[str], condit
     return x.withColumn("action", F.coalesce("_action", F.lit(default))).drop(*own, "_action")
 
 
-# Commands that only read, and separators between commands.
-READ_ONLY = ["ls", "cat", "head", "tail", "grep", "wc", "echo", "pwd", "whoami", "date", "sort", "uniq", "cut", "find", "du", "df", "stat", "file", "diff", "git status", "git log", "git diff"]
-_SEPARATOR, _SUBSTITUTION = r"\s*(?:&&|\|\||[;|&\n])\s*", r"\$\(|`|<\(|\$\{"
+# Commands that are harmless even with doubtful input, and git's subcommands that only read.
+BENIGN = (
+    "ls cat echo pwd cd pip pip3 npm npx yarn git head tail wc sort uniq grep find which whoami date env printenv uname df du free ps top htop file stat id hostname uptime python3 python node "
+    "cargo rustc make cmake tree less more diff basename dirname realpath mkdir touch cp mv"
+).split()
+BENIGN_GIT = "status log diff show branch tag remote describe shortlog reflog config ls-files ls-tree".split()
+_SEPARATOR, _SUBSTITUTION = r";|&&|\|\||\||\n|&", r"\$\(|\$\{|`|<\(|>\("
+# Names of tools that run commands, and parts of such names.
+COMMAND_SINKS = (
+    "terminal bash shell sh zsh fish run_command run_terminal_cmd runcommand run_shell_command subprocess exec execute_command execute_bash command cmd powershell pwsh system os_system"
+).split()
+COMMAND_SINK_PARTS = "terminal shell bash subprocess powershell run_command".split()
+
+
+def command_sink(tool: Column) -> Column:
+    """Whether a tool runs commands; null and blank names don't."""
+    t = F.lower(F.trim(tool))
+    return F.coalesce(t.isin(COMMAND_SINKS) | t.rlike("|".join(COMMAND_SINK_PARTS)), F.lit(False))
+
+
+def canonical_tool(tool: Column) -> Column:
+    """All tools that run commands are `terminal`."""
+    return F.when(command_sink(tool), "terminal").otherwise(tool)
 
 
 def benign_command(c: Column) -> Column:
-    """Whether every command between separators is one that only reads, and nothing is substituted. Null and empty are benign of nothing: false."""
-    parts = F.filter(F.split(F.trim(c), _SEPARATOR), lambda x: x != "")
-    known = F.array(*map(F.lit, READ_ONLY))
+    """Whether every command between separators is harmless (settings of variables, sudo and paths before its name left out; of git's, subcommands that only read), and nothing
+    is substituted. Null and empty are benign of nothing: false."""
+    parts = F.filter(F.split(c, _SEPARATOR), lambda x: F.trim(x) != "")
+
+    def words(x: Column) -> Column:
+        bare = F.regexp_replace(F.regexp_replace(F.trim(x), r"^(?:[^\s=]*=\S*\s+)+", ""), r"^sudo\s+", "")
+        return F.split(F.trim(bare), r"\s+")
 
-    def one(x: Column) -> Column:
-        return F.array_contains(known, F.element_at(F.split(x, " "), 1)) | F.array_contains(known, F.array_join(F.slice(F.split(x, " "), 1, 2), " "))
+    def one(w: Column) -> Column:
+        name = F.regexp_extract(F.translate(F.get(w, F.lit(0)), "\\", "/"), r"([^/]*)$", 1)
+        git = F.coalesce(F.get(w, F.lit(1)).isin(BENIGN_GIT), F.lit(True))
+        return name.isin(BENIGN) & ((name != "git") | git)
 
-    return F.coalesce(F.forall(parts, one) & (F.size(parts) > 0) & ~c.rlike(_SUBSTITUTION) & ~c.rlike(">"), F.lit(False))
+    return F.coalesce(F.forall(F.transform(parts, words), one) & (F.size(parts) > 0) & ~c.rlike(_SUBSTITUTION), F.lit(False))
 
 
 def sliced(spans: Column, start: Column, stop: Column) -> Column:

@@ -3,10 +3,14 @@ counts over time ranges are first summed by time bucket where the range permits
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lodestone.operators.fold import folded
+
 
 def micros(ts: str) -> Column:
     return F.unix_micros(F.col(ts).cast("timestamp"))
@@ -68,17 +72,17 @@ def sessions(df: DataFrame, key: str, ts: str, order: str, gap: int) -> DataFram
 
 
 def decayed(df: DataFrame, key: str, ts: str, order: str, risk: Column, decay: float = 0.85, streak: int = 4, bonus: float = 0.15) -> DataFrame:
-    """Cumulative risk: decay times the last plus the row's own, plus a bonus from the fourth positive row in a row on. An ordered fold for each key."""
-    g = df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o"), risk.cast("double").alias("r")))).alias("rows"))
-    start = F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("s"), F.array().cast(f"array<struct<o:bigint,c:double>>").alias("out"))
+    """Cumulative risk: decay times the last plus the row's own (null: none), plus a bonus from the fourth positive row in a row on."""
+    kind = df.schema[order].dataType.simpleString()
 
-    def step(a: Column, x: Column) -> Column:
-        s = F.when(x["r"] > 0, a["s"] + 1).otherwise(0)
-        c = a["c"] * decay + x["r"] + F.when(s >= streak, bonus).otherwise(0.0)
-        return F.struct(c.alias("c"), s.alias("s"), F.concat(a["out"], F.array(F.struct(x["o"].cast("bigint").alias("o"), c.alias("c")))).alias("out"))
+    def step(state: tuple[float, int], i, r: float | None) -> tuple:
+        c, s = state
+        r = r or 0.0
+        s = s + 1 if r > 0 else 0
+        c = c * decay + r + (bonus if s >= streak else 0.0)
+        return (c, s), (i, c)
 
-    f = g.select(key, F.aggregate("rows", start, step).alias("f"))
-    return f.select(key, F.inline("f.out")).withColumnsRenamed({"o": order, "c": "cumulative"})
+    return folded(df.withColumn("_risk", risk.cast("double")), key, [ts, order], [order, "_risk"], lambda: (0.0, 0), step, f"`{order}` {kind}, cumulative double")
 
 
 def set_drift(df: DataFrame, key: str, kind: str, early: Column) -> DataFrame:
@@ -92,28 +96,22 @@ def set_drift(df: DataFrame, key: str, kind: str, early: Column) -> DataFrame:
 
 
 def rate_limited(df: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int, factor: float = 2.0) -> DataFrame:
-    """key, order, allowed, n_window: a sliding limit that halves with each refusal (five times at most) and recovers in quiet times.
-
-    What is allowed depends on what was allowed before, so each key's rows are folded in order, in Arrow batches by key.
-    """
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", order])
-        window: list[float] = []
-        bad, ok, n = 0, [], []
-        for t in pdf["t"]:
-            window = [x for x in window if x >= t - seconds * 1e6]
-            most = max(1, int(limit / factor ** min(bad, 5)))
-            ok.append(len(window) < most)
-            if not ok[-1]:
-                bad += 1
-            else:
-                window.append(t)
-                if bad and len(window) < most // 2:
-                    bad -= 1
-            n.append(len(window))
-        return pd.DataFrame({key: pdf[key], order: pdf[order], "allowed": ok, "n_window": n})
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.select(key, order, micros(ts).alias("t")).groupBy(key).applyInPandas(fold, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, allowed boolean, n_window long")
+    """key, order, allowed, n_window: a sliding limit that halves with each refusal (five times at most) and recovers in quiet times. What is allowed depends on what was allowed
+    before; the times allowed within the window are kept, at most `limit` of a key."""
+    kind = df.schema[order].dataType.simpleString()
+
+    def step(state: tuple[deque, int], i, t: int) -> tuple:
+        window, bad = state
+        while window and window[0] < t - seconds * 1_000_000:
+            window.popleft()
+        most = max(1, int(limit / factor ** min(bad, 5)))
+        ok = len(window) < most
+        if not ok:
+            bad += 1
+        else:
+            window.append(t)
+            if bad and len(window) < most // 2:
+                bad -= 1
+        return (window, bad), (i, ok, len(window))
+
+    return folded(df.withColumn("_t", micros(ts)), key, [ts, order], [order, "_t"], lambda: (deque(), 0), step, f"`{order}` {kind}, allowed boolean, n_window long")

@@ -86,12 +86,9 @@ def run_costs(spark: SparkSession, d: str) -> DataFrame:
     select r.result_no, case when coalesce(length(response_text), 0) < 50 then 'agent_failure' when coalesce(round(e, 9), 0) < 0.35 then 'model_garbage' else 'ok' end as failure from evaluation_results r left join e using (result_no)""")
 def failure_modes(spark: SparkSession, d: str) -> DataFrame:
     """Too short, too uniform, or fine: the first that holds."""
-    r = table(spark, d, "evaluation_results").select("result_no", "response_text")
-    k = r.where(F.length("response_text") >= 20).select("result_no", F.length("response_text").alias("n"), F.explode(F.split("response_text", "")).alias("ch")).groupBy("result_no", "n", "ch").agg(F.count("*").alias("k"))
-    g = k.groupBy("result_no", "n").agg(F.sum(F.col("k") * F.log2("k")).alias("kl"), F.count("*").alias("u"))
-    e = g.select("result_no", F.round(F.least(F.lit(1.0), (F.log2("n") - F.col("kl") / F.col("n")) / F.nullif(F.log2(F.least("u", F.lit(32))), F.lit(0.0))), 9).alias("e"))
-    x = r.join(e, "result_no", "left")
-    return x.select("result_no", F.when(F.coalesce(F.length("response_text"), F.lit(0)) < 50, "agent_failure").when(F.coalesce("e", F.lit(0.0)) < 0.35, "model_garbage").otherwise("ok").alias("failure"))
+    x = table(spark, d, "evaluation_results").select("result_no", F.coalesce(F.length("response_text"), F.lit(0)).alias("n"), X.char_counts(F.col("response_text")).alias("c"))
+    e = F.round(F.least(F.lit(1.0), F.col("c.entropy") / F.nullif(F.log2(F.least(F.col("c.n_distinct"), F.lit(32)).cast("double")), F.lit(0.0))), 9)
+    return x.select("result_no", F.when(F.col("n") < 50, "agent_failure").when(F.coalesce(F.when(F.col("n") >= 20, e), F.lit(0.0)) < 0.35, "model_garbage").otherwise("ok").alias("failure"))
 
 
 @query("""with s as (select regexp_replace(lower(trim(model)), '^[^/]*/', '') as model, date_trunc('day', to_timestamp(ts_epoch)) as day, ts_epoch from evaluation_results where ts_epoch is not null and model is not null)

@@ -109,13 +109,12 @@ def audit_chain_verify(spark: SparkSession, d: str) -> DataFrame:
     return audit.verified(c, "user_id", ["ts", "event_id"], "body").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("valid"), 0).otherwise(1)).alias("n_broken"))
 
 
-@query("""with k as (select *, row_number() over (order by ts desc, event_id desc) as r from events where ts >= timestamp '2024-01-29')
-    select event_id, event_type from k where r <= 50 or event_type = 'error'""")
+@query("""with k as (select event_id, event_type, row_number() over (order by ts desc, event_id desc) as r from events) select event_id, event_type from k where r <= 50 or event_type = 'error'""")
 def events_compacted(spark: SparkSession, d: str) -> DataFrame:
-    """The latest 50 events of the last days and all errors before. The latest are found by a bounded sort."""
-    x = table(spark, d, E).where(F.col("ts") >= F.lit("2024-01-29").cast("timestamp_ntz"))
-    new = x.orderBy(F.desc("ts"), F.desc("event_id")).limit(50).select("event_id", "event_type")
-    return new.unionByName(x.where("event_type = 'error'").select("event_id", "event_type")).distinct()
+    """The latest 50 events, and of all earlier ones the errors. The latest are found by a bounded sort."""
+    x = table(spark, d, E).select("event_id", "event_type", "ts")
+    new = x.orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return new.unionByName(x.where("event_type = 'error'")).select("event_id", "event_type").distinct()
 
 
 @query("""select event_id, user_id, round(sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding), 4) as used,

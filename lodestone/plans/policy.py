@@ -15,20 +15,9 @@ _SQL_RULES = "r(name, priority, action, enabled, shape, least) as (values " + ",
 @query(f"""with {_SQL_RULES}, m as (select e.event_id, r.name, r.action, row_number() over (partition by e.event_id order by r.priority desc, r.name) as rn from events e join r on r.enabled and e.event_type GLOB r.shape and e.value >= r.least)
     select e.event_id, coalesce(m.action, 'escalate') as action, m.name as rule from events e left join m on m.event_id = e.event_id and m.rn = 1""")
 def policy_first_match(spark: SparkSession, d: str) -> DataFrame:
-    """Rules look at the type and at whether the value reaches their bounds, of which there are few combinations."""
-    rules = spark.createDataFrame(_RULES, "name string, priority int, action string, enabled boolean, glob string, least double")
-    rules = rules.withColumn("pattern", policy_pattern(F.col("glob")))
-    bounds = sorted({r[5] for r in _RULES})
-    level = F.lit(-1.0)
-    for b in bounds:
-        level = F.when(F.col("value") >= b, b).otherwise(level)
-    calls = table(spark, d, "events").select("event_id", "event_type", level.alias("level"))
-    got = policy.first_match(calls, rules, ["event_type", "level"], F.expr("event_type rlike pattern and level >= least"), "escalate")
-    return got.select("event_id", "action", "rule")
-
-
-def policy_pattern(glob):
-    return F.concat(F.lit("^"), F.replace(F.replace(glob, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+    """Rules as a chain of conditions in the order of their priority: one projection, no join."""
+    own = [policy.Chosen(a, b, c, F.col("event_type").rlike(policy.glob_regex(e)) & (F.col("value") >= f)) for a, b, c, on, e, f in _RULES if on]
+    return table(spark, d, "events").select("event_id", *policy.chosen(own, "escalate"))
 
 
 _ORIGIN = """case origin when 'user_input' then 'user' when 'retrieved_web' then 'web_content' when 'mcp_tool_result' then 'mcp_tool_result' when 'mcp_tool_description' then 'mcp_tool_description'
@@ -41,7 +30,7 @@ def _flow_sql() -> str:
         at = "true" if "*" in r.tools else "tool in (" + ", ".join(f"'{t}'" for t in r.tools) + ")"
         decision = r.decision if r.decision != "ask_user" else "ask_user"
         out += f" when {at} and label in (" + ", ".join(f"'{x}'" for x in r.labels) + f") then '{decision}'"
-    return out + " else 'allow' end"
+    return out + " else 'ask_user' end"
 
 
 @query(f"""with c as (select sample_no, {_ORIGIN} as label from attack_samples), t as (select sample_no, label, unnest(['terminal', 'delegate_task', 'skill_manage', 'send_message', 'search']) as tool from c)
@@ -72,24 +61,12 @@ def taint_span_slice(spark: SparkSession, d: str) -> DataFrame:
     return x.select("sample_no", F.inline(policy.sliced(spans, F.lit(0), F.expr("n div 2").cast("int")))).withColumnRenamed("labels", "label").where("e > s")
 
 
-@query("""with recursive e as (select distinct o_custkey as a, o_orderkey % 97 as b from orders where o_orderkey % 7 = 0 and o_custkey % 11 = 0), c(a, b, depth) as (select a, b, 1 from e union select c.a, e.b, depth + 1 from c join e on e.a = c.b where depth < 4)
+@query("""with recursive e as (select distinct o_custkey as a, o_orderkey % 97 as b from orders), s(a, b, depth) as (select a, b, 1 from e where a < 97 union select s.a, e.b, depth + 1 from s join e on e.a = s.b where depth < 97),
+    m as (select a, b, min(depth) as depth from s group by a, b), c as (select a, b, 1 as depth from e union all select e.a, m.b, 1 + m.depth from e join m on m.a = e.b)
     select a, b, min(depth)::int as depth from c group by a, b""")
 def taint_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All that a value depends on, over several steps: a fixpoint of joins, each step from what was new."""
-    e = table(spark, d, "orders").where("o_orderkey % 7 = 0 and o_custkey % 11 = 0").selectExpr("o_custkey as a", "o_orderkey % 97 as b").distinct()
-    out = new = e.withColumn("depth", F.lit(1))
-    for k in range(2, 5):
-        step = new.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        new = step.join(out.select("a", "b"), ["a", "b"], "left_anti").withColumn("depth", F.lit(k))
-        out = out.unionByName(new)
-    return out
-
-
-@query()
-def taint_closure_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As taint_closure, over all orders and as many steps as there are; recursive SQL over pairs with their depths doesn't end on cycles."""
-    e = table(spark, d, "orders").selectExpr("o_custkey as a", "o_orderkey % 97 as b")
-    return policy.closure(e, shared_folder(spark))
+    """All that a value depends on, over as many steps as there are. Only values below 97 are depended on, so the SQL closes over these first."""
+    return policy.closure(table(spark, d, "orders").selectExpr("o_custkey as a", "o_orderkey % 97 as b"), shared_folder(spark))
 
 
 @query()

@@ -15,22 +15,18 @@ from lodestone.plans.registry import query, table
     t as (select doc_id, k, sum(k) over (partition by doc_id) as s, count(*) over (partition by doc_id) as u from n)
     select doc_id, max(u)::bigint as n_distinct, round(sum(-(k / s) * log2(k / s)), 6) as entropy from t group by doc_id""")
 def doc_char_entropy(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text <> ''").select("doc_id", F.explode(F.split("text", "")).alias("ch")).groupBy("doc_id", "ch").agg(F.count("*").alias("k"))
-    # sum over characters of -k/s log2(k/s) = log2 s - sum k log2 k / s, which needs no second pass
-    g = x.groupBy("doc_id").agg(F.sum("k").alias("s"), F.count("*").alias("n_distinct"), F.sum(F.col("k") * F.log2("k")).alias("kl"))
-    return g.select("doc_id", "n_distinct", F.round(F.log2("s") - F.col("kl") / F.col("s"), 6).alias("entropy"))
+    x = table(spark, d, "documents").where("text <> ''").select("doc_id", X.char_counts(F.col("text")).alias("c"))
+    return x.select("doc_id", F.col("c.n_distinct").alias("n_distinct"), F.round("c.entropy", 6).alias("entropy"))
 
 
 @query(r"""with w as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_'']+')) as w from documents), n as (select doc_id, w, count(*) as k from w where length(w) > 3 group by doc_id, w),
     r as (select doc_id, w, k, row_number() over (partition by doc_id order by k desc, w) as rn, sum(k) over (partition by doc_id) as s from n)
     select doc_id, sum(k)::bigint as top5, max(s)::bigint as n_words, round(sum(k) / max(s), 6) as share, (sum(k) / max(s) >= 0.18 and max(k) >= 7) as stuffed from r where rn <= 5 group by doc_id""")
 def doc_keyword_stuffing(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "documents").select("doc_id", F.explode(X.tokens(F.col("text"))).alias("w")).where(F.length("w") > 3)
-    n = w.groupBy("doc_id", "w").agg(F.count("*").alias("k"))
-    # the five largest of each document are kept in the aggregation itself: no sort of all words
-    g = n.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list(F.struct(-F.col("k"), "w"))), 1, 5).alias("t"), F.sum("k").alias("n_words"))
-    top = F.aggregate("t", F.lit(0).cast("bigint"), lambda a, x: a - x["col1"])
-    return g.select("doc_id", top.alias("top5"), "n_words", F.round(top / F.col("n_words"), 6).alias("share"), ((top / F.col("n_words") >= 0.18) & (-F.col("t")[0]["col1"] >= 7)).alias("stuffed"))
+    # most common words are found text by text, where the text is; nothing is shuffled
+    x = table(spark, d, "documents").select("doc_id", X.common_words(F.col("text"), 5, 4).alias("c")).where("c.n_words > 0")
+    share = F.col("c.top") / F.col("c.n_words")
+    return x.select("doc_id", F.col("c.top").alias("top5"), F.col("c.n_words").alias("n_words"), F.round(share, 6).alias("share"), ((share >= 0.18) & (F.col("c.most") >= 7)).alias("stuffed"))
 
 
 @query("""with l as (select doc_id, trim(unnest(string_split(text, chr(10)))) as line from documents), n as (select doc_id, line, count(*) as k from l where length(line) >= 10 group by doc_id, line)

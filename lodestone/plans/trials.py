@@ -123,9 +123,17 @@ def trial_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return trials.cluster_bootstrap(valid_rows(spark, d), "model", "attack_id", _hit())
 
 
-@query(f"""with {_T}, g as (select model, sum(case when strategy = 'direct' then 1 else 0 end)::bigint as direct_n, sum(case when strategy = 'task_wrap' then 1 else 0 end)::bigint as task_wrap_n, sum(case when strategy = 'multi_turn' then 1 else 0 end)::bigint as multi_turn_n from v group by model) select * from g""")
+@query(f"""with {_T}, m as (select distinct model from v where model is not null), s as (select distinct strategy from v where strategy is not null), g as (select model, strategy, count(*) as n from v group by 1, 2)
+    select model, strategy, coalesce(n, 0)::bigint as n, round(coalesce(n, 0) / sum(coalesce(n, 0)) over (partition by model), 6)::double as share from m cross join s left join g using (model, strategy)""")
 def trial_pivot(spark: SparkSession, d: str) -> DataFrame:
-    return valid_rows(spark, d).groupBy("model").pivot("strategy", ["direct", "task_wrap", "multi_turn"]).agg(F.count(F.lit(1))).fillna(0).withColumnsRenamed({x: f"{x}_n" for x in ("direct", "task_wrap", "multi_turn")})
+    """Rows of each model by strategy, all strategies that occur, in long form with the combinations that don't."""
+    x = valid_rows(spark, d).where("model is not null and strategy is not null")
+    names = sorted(r[0] for r in x.select("strategy").distinct().collect())
+    wide = x.groupBy("model").pivot("strategy", names).agg(F.count(F.lit(1))).fillna(0)
+    if not names:
+        return wide.select("model", F.lit("").alias("strategy"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("share"))
+    total = sum((F.col(f"`{n}`") for n in names), F.lit(0))
+    return wide.withColumn("_all", total).unpivot(["model", "_all"], [f"`{n}`" for n in names], "strategy", "n").select("model", "strategy", "n", F.round(F.col("n") / F.col("_all"), 6).alias("share"))
 
 
 _TAKE = "sha256(attack_id || '|' || result_no)"

@@ -43,7 +43,10 @@ def test_exact_interval_and_mcnemar(spark):
 @settings(max_examples=50, deadline=None)
 @given(st.floats(0.01, 0.99), st.integers(1, 40), st.integers(1, 40))
 def test_beta_quantile_inverts(p, a, b):
-    assert abs(stats._beta_cdf(stats.beta_quantile(p, a, b), a, b) - p) < 1e-6
+    x = float(stats.beta_quantile(p, a, b)[0])
+    # a and b are whole, so the probability is a binomial tail
+    n = a + b - 1
+    assert abs(sum(math.comb(n, i) * x**i * (1 - x) ** (n - i) for i in range(a, n + 1)) - p) < 1e-6
 
 
 def test_scan_gives_a_row_for_every_text(spark):
@@ -158,7 +161,7 @@ def test_policy(spark):
     df = spark.createDataFrame([("ls -la | grep x",), ("ls; rm -rf /",), ("cat $(id)",), ("",), (None,), ("git status && git log",)], "c string")
     assert [r[0] for r in df.select(policy.benign_command(F.col("c"))).collect()] == [True, False, False, False, False, True]
     d = spark.createDataFrame([(["web_content", "user"], "terminal"), (["user"], "terminal"), ([], "terminal"), (["memory"], "send_message"), (["agent"], "search")], "l array<string>, t string")
-    assert [r[0] for r in d.select(policy.flow_decision(F.col("l"), F.col("t"))).collect()] == ["deny", "allow", "allow", "deny", "allow"]
+    assert [r[0] for r in d.select(policy.flow_decision(F.col("l"), F.col("t"))).collect()] == ["deny", "allow", "allow", "deny", "ask_user"]
     s = spark.range(1).select(policy.sliced(F.array(F.struct(F.lit(0).alias("s"), F.lit(4).alias("e"), F.lit("a").alias("labels")), F.struct(F.lit(4).alias("s"), F.lit(9).alias("e"), F.lit("b").alias("labels"))), F.lit(2), F.lit(6)).alias("x"))
     assert [tuple(y) for y in s.first()["x"]] == [(0, 2, "a"), (2, 4, "b")]
 
@@ -234,7 +237,7 @@ def test_closure_goes_on_to_the_end(spark, tmp_path):
 
 def test_whole_closure_reads_every_order(spark):
     d = "/root/testdata/sf0.001"
-    got = {(r["a"], r["b"]): r["depth"] for r in entry.queries()["taint_closure_whole"](spark, d).collect()}
+    got = {(r["a"], r["b"]): r["depth"] for r in entry.queries()["taint_closure"](spark, d).collect()}
     orders = {(r[0], r[1] % 97) for r in spark.read.parquet(f"{d}/orders.parquet").select("o_custkey", "o_orderkey").collect()}
     assert {k for k, n in got.items() if n == 1} == orders
     assert {(a, c) for a, b in got for x, c in orders if x == b} <= set(got)
