@@ -97,7 +97,7 @@ def decode_and_scan(df: DataFrame, key: str, text: str, rules: list[R.Rule], dep
     for i in range(1, depth + 1):
         now = now.where(F.col("t").rlike(MAYBE)).select(key, F.inline(layers(F.col("t")))).withColumnRenamed("decoded", "t")
         x, f = R.looked_at(now, [key, "encoding"], "t", rules)
-        hit = x.select(key, F.lit(i).alias("depth"), "encoding", F.inline(f))
+        hit = x.select(key, F.lit(i).alias("depth"), "encoding", F.inline_outer(f)).where("rule_id is not null")
         out.append(hit.select(key, "depth", "encoding", "rule_id", F.round(F.col("confidence") - 0.1 * i, 6).alias("confidence")).where(F.col("confidence") >= least))
     return reduce(DataFrame.unionByName, out)
 

@@ -35,7 +35,8 @@ def said(rule_id: str, category: str, severity: str, confidence: float, words: s
     """A rule of phrases: groups of alternatives separated by " .. ", each within `gap` characters of the one before and in the same sentence. A phrase ending in "?" has an optional last letter."""
     groups = [[x.strip() for x in g.split("|")] for g in words.split(" .. ")]
     pattern = f"[^.!?\\n]{{0,{gap}}}?".join(r"\b(?:" + "|".join(re.sub(r" +", " +", x) for x in g) + r")\b" for g in groups)
-    needs = tuple(tuple(sorted({max(re.sub(r".\?", " ", x).split(), key=len) for x in g})) for g in groups)
+    # of a phrase the longest run of signs that stand for themselves
+    needs = tuple(tuple(sorted({max(re.split(r"\(.*?\)|\[.*?\]|.\?| ", x), key=len) for x in g})) for g in groups)
     return Rule(rule_id, category, severity, confidence, "(?i)" + pattern, scanner, needs)
 
 
@@ -304,7 +305,8 @@ def looked_at(df: DataFrame, keep: list[str], text: str, rules: list[Rule]) -> t
 def findings(df: DataFrame, key: str, text: str, rules: list[Rule]) -> DataFrame:
     """key, rule_id, scanner, category, severity, confidence, n_hits: one row for each rule that matches a text."""
     x, f = looked_at(df, [key], text, rules)
-    return x.select(F.col(key), F.inline(f))
+    # outer, as otherwise Spark infers that the array isn't empty and works all of it out a second time to filter by it
+    return x.select(F.col(key), F.inline_outer(f)).where("rule_id is not null")
 
 
 def risk(found: Column, per_category: float = 0.05, most: float = 0.15) -> Column:
