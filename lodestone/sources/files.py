@@ -79,3 +79,61 @@ def prometheus(df: DataFrame, metric: str, labels: list[str], value: str) -> Dat
     """Counters as lines of text: metric{label="value"} n."""
     parts = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"')) for c in labels])
     return df.select(F.concat(F.lit(metric + "{"), parts, F.lit("} "), F.col(value).cast("string")).alias("line"))
+
+
+def read_sqlite(spark: SparkSession, path: str, table: str, schema: str, parts: int = 8) -> DataFrame:
+    """A table of an SQLite file that all executors can read, in ranges of its row numbers: no task reads all of it. schema: the columns to read."""
+    import sqlite3
+
+    names = T._parse_datatype_string(schema).fieldNames()
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+        low, high = c.execute(f'select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from "{table}"').fetchone()
+    width = max(1, -(-(high - low + 1) // parts))
+    ranges = spark.createDataFrame([(i, min(i + width - 1, high)) for i in range(low, high + 1, width)], "low long, high long").repartition(parts)
+
+    def run(batches):
+        import pandas as pd
+
+        for b in batches:
+            for lo, hi in zip(b["low"], b["high"], strict=True):
+                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+                    cols = ", ".join(f'"{n}"' for n in names)
+                    yield pd.DataFrame(c.execute(f'select {cols} from "{table}" where rowid between ? and ?', (int(lo), int(hi))).fetchall(), columns=names)
+
+    return ranges.mapInPandas(run, schema)
+
+
+def read_rotated(spark: SparkSession, folder: str, schema: str, pattern: str = "audit*.jsonl") -> DataFrame:
+    """Entries of rotated logs with `file_no`, by which older files come first (rotated ones by their names, the one in use last), and their place in the file's text. Malformed lines are left out."""
+    x = spark.read.option("pathGlobFilter", pattern).text(folder).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    files = sorted((r[0] for r in x.select("f").distinct().collect()), key=lambda f: (f.count(".") < 2, f))
+    number = F.create_map(*[F.lit(y) for i, f in enumerate(files) for y in (f, i)]) if files else F.lit(None)
+    y = x.select(F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"), (number[F.col("f")] if files else F.lit(0)).alias("file_no"), "at", "line").where("r is not null")
+    return y.select("file_no", "at", "line", "r.*")
+
+
+def data_uris(text):
+    """What data URIs in a text carry: array of struct kind, content (base-64 or percent-coded); what can't be decoded is left out."""
+    found = F.regexp_extract_all(text, F.lit(r"data:([a-zA-Z0-9.+/-]*(?:;[a-zA-Z0-9=.-]+)*),([A-Za-z0-9+/=%_.~-]+)"), F.lit(0))
+
+    def one(x):
+        head, body = F.regexp_extract(x, r"^data:([^,]*),", 1), F.regexp_extract(x, r"^data:[^,]*,(.*)$", 1)
+        coded = head.endswith(";base64")
+        return F.struct(F.regexp_replace(head, ";.*$", "").alias("kind"), F.when(coded, F.decode(F.try_to_binary(body, F.lit("base64")), "UTF-8")).otherwise(F.try_url_decode(body)).alias("content"))
+
+    return F.filter(F.transform(found, one), lambda y: y["content"].isNotNull())
+
+
+def phrase_list(df: DataFrame, text: str, least: int = 10) -> DataFrame:
+    """Phrases in lower case with single blanks, each once; shorter ones than `least` signs and single words are left out."""
+    p = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    return df.select(p.alias("phrase")).where((F.length("phrase") >= least) & F.col("phrase").contains(" ")).distinct()
+
+
+def markdown(df: DataFrame, rows: int = 1000) -> str:
+    """A small report table as Markdown; more than `rows` rows are an error, as a report isn't a copy of a table."""
+    got = df.limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"a report has at most {rows} rows")
+    line = lambda x: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in x) + " |"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, got)])
