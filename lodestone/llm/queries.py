@@ -96,6 +96,14 @@ def p5_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.segments(spread(df), "sample_no", "text", language.fit(df, "sample_no", "text", "source_lang"))
 
 
+def p5_records(spark: SparkSession, d: str) -> DataFrame:
+    """Each record's main language, the share of its characters in that language and the confidence, over all segments by their sentences; lang is null without letters."""
+    x = p5_segments(spark, d)
+    per = x.groupBy("sample_no", "lang").agg(F.sum("n_chars").alias("c"), F.sum("n_sentences").alias("s"), F.sum(F.col("confidence") * F.col("n_sentences")).alias("w"))
+    g = per.groupBy("sample_no").agg(F.max_by("lang", F.struct(F.col("lang").isNotNull(), "c", "lang")).alias("lang"), F.max(F.when(F.col("lang").isNotNull(), F.col("c"))).alias("most"), F.sum("c").alias("all"), F.sum("w").alias("w"), F.sum("s").alias("s"))
+    return g.select("sample_no", "lang", F.round(F.coalesce("most", F.lit(0)) / F.greatest("all", F.lit(1)), 4).alias("share"), F.round(F.col("w") / F.greatest("s", F.lit(1)), 4).alias("confidence"))
+
+
 # 6 ---------------------------------------------------------------------------------------------------------------------------------
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     df = spread(table(spark, d, "evaluation_results").select("result_no", "attack_text", "response_text", "error", "source_lang"))
@@ -156,7 +164,13 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p9_uses(spark, d).withColumnRenamed("n_tokens", "tokens"), table(spark, d, "mix_targets"))
 
 
-# 10 --------------------------------------------------------------------------------------------------------------------------------
+def p9_met(spark: SparkSession, d: str) -> DataFrame:
+    """Whether each source has its share, to a hundredth."""
+    x = p9_shares(spark, d)
+    return x.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("met"))
+
+
+# 10 -------------------------------------------------------------------------------------------------------------------------------
 def _subject_model(spark: SparkSession, d: str) -> subjects.SubjectModel:
     names = [r["subject"] for r in table(spark, d, "subjects").collect()]
     return subjects.fit(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "subject_labels"), names)
@@ -204,4 +218,6 @@ def oracle_sql() -> dict[str, str]:
             m as (select k, min(n) as m from k group by k having count(*) > 1), h as (select n, m from k join m using (k) where n <> m), e as (select n as a, m as b from h union select m, n from h),
             c(n, m) as (select distinct a, a from e union select e.b, c.m from c join e on e.a = c.n)
             select n as sample_no, min(m) as group_no from c group by n""",
+        # what the shares are is the targets' to say
+        "p9_met": "select regexp_replace(lower(trim(source)), '[\\s-]+', '_', 'g') as source, true as met from mix_targets",
     }
