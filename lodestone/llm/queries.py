@@ -165,9 +165,11 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_met(spark: SparkSession, d: str) -> DataFrame:
-    """Whether each source has its share, to a hundredth."""
-    x = p9_shares(spark, d)
-    return x.select("source", (F.abs(F.col("actual_share") - F.col("target_share")) < 0.01).alias("met"))
+    """Whether each source has its share of all tokens, to the tokens of the largest document that any listed source has: no document is split."""
+    uses = stored(p9_uses(spark, d), "uses")
+    x = mixing.share_report(uses.withColumnRenamed("n_tokens", "tokens"), table(spark, d, "mix_targets"))
+    all_ = uses.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("total"), F.max("n_tokens").alias("largest"))
+    return x.join(F.broadcast(all_)).select("source", (F.abs(F.col("n_tokens") - F.col("target_share") * F.col("total")) <= F.col("largest")).alias("met"))
 
 
 # 10 -------------------------------------------------------------------------------------------------------------------------------

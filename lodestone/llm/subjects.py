@@ -209,11 +209,11 @@ class SubjectModel:
     def calibrated(docs: list[tuple[str, str | None, bool]], subjects: list[str]) -> SubjectModel:
         """train() with the acceptance calibrated."""
         model = SubjectModel.train(docs, subjects)
-        yes, no = [d for d in docs if d[2]], [d for d in docs if not d[2]]
+        yes = [d for d in docs if d[2]]
         score, labels = [np.zeros((0, len(subjects)))], []
         for f in range(FOLDS):
             part = yes[f::FOLDS]
-            other = SubjectModel.train([d for i, d in enumerate(yes) if i % FOLDS != f] + [(t, None, False) for t, _, _ in part] + no, subjects)
+            other = SubjectModel.train([d for i, d in enumerate(yes) if i % FOLDS != f] + [(t, None, False) for t, _, _ in part], subjects, 3)
             score.append(other.document_gains([t for t, _, _ in part]))
             labels += [x for _, x, _ in part]
         return model.accepting(np.concatenate(score), labels)
