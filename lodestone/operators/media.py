@@ -151,6 +151,17 @@ def lsb_measures(data: bytes) -> tuple[float, float]:
     return min(1.0, abs(odd - 0.5) * 10), chi
 
 
+def bit_measures(df: DataFrame) -> DataFrame:
+    """path, odd, chi, entropy of binary files (path, content): how uneven last bits are, and bits a byte. Null contents are left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(p, *lsb_measures(bytes(c)), entropy(bytes(c))) for p, c in zip(b["path"], b["content"], strict=True) if c is not None]
+            yield pd.DataFrame(rows, columns=["path", "odd", "chi", "entropy"])
+
+    return df.select("path", "content").mapInPandas(run, "path string, odd double, chi double, entropy double")
+
+
 def scan_files(df: DataFrame) -> DataFrame:
     """path, kind, finding of binary files (path, content): text in images, Office parts, code in PDFs, text behind an image's end."""
 

@@ -33,3 +33,22 @@ def content_types(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ascii_art(spark: SparkSession, d: str) -> DataFrame:
     return media.ascii_art_blocks(table(spark, d, "documents"), "doc_id", "text")
+
+
+@query("select doc_id, 1 as first_line, 3::bigint as n_lines from documents")
+def planted_art(spark: SparkSession, d: str) -> DataFrame:
+    """A picture of signs between two lines of text is found in its place."""
+    x = table(spark, d, "documents").select("doc_id", F.lit("Some words.\n#####\n##@##\n#####\nMore words.").alias("text"))
+    return media.ascii_art_blocks(x, "doc_id", "text")
+
+
+@query()
+def planted_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents' beginnings as texts in images: found, with the statistics of the file's last bits."""
+    x = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.substring("text", 1, 40), "[^ -~]", "").alias("s"))
+    body = F.concat(F.encode(F.lit("Note\0"), "ISO-8859-1"), F.encode("s", "ISO-8859-1"))
+    chunk = F.concat(F.unhex(F.lpad(F.hex(F.length(body)), 8, "0")), F.encode(F.lit("tEXt"), "ISO-8859-1"), body, F.unhex(F.lit("00000000")))
+    png = F.concat(F.unhex(F.lit("89504E470D0A1A0A")), chunk, F.unhex(F.lit("0000000049454E4400000000")))
+    files = x.select(F.col("doc_id").cast("string").alias("path"), png.alias("content"))
+    found = media.scan_files(files).select("path", "kind", "finding")
+    return found.join(media.bit_measures(files), "path", "left")

@@ -116,3 +116,13 @@ def length_percentiles(spark: SparkSession, d: str) -> DataFrame:
     r = h.withColumn("cum", F.sum("k").over(w)).withColumn("c", F.sum("k").over(W.partitionBy("source")))
     at = lambda q: F.min(F.when(F.col("cum") >= F.ceil(F.lit(q) * F.col("c")), F.col("n"))).cast("bigint")
     return r.groupBy("source").agg(F.max("c").alias("n_docs"), at(0.5).alias("p50"), at(0.9).alias("p90"))
+
+
+@query("select doc_id * 2 as a, doc_id * 2 + 1 as b, round(35 / 37, 6) as jaccard from documents")
+def planted_near_dupes(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of forty words of their own and copies whose last word is another: each pair, and nothing else, is found."""
+    word = lambda i: F.concat(F.lit("w"), F.col("doc_id").cast("string"), F.lit("x"), i.cast("string"))
+    x = table(spark, d, "documents").select("doc_id", F.transform(F.sequence(F.lit(1), F.lit(39)), word).alias("w"))
+    two = F.array(F.struct((F.col("doc_id") * 2).alias("id"), F.concat("w", F.array(F.lit("end"))).alias("w")), F.struct((F.col("doc_id") * 2 + 1).alias("id"), F.concat("w", F.array(F.lit("other"))).alias("w")))
+    y = x.select(F.inline(two)).select("id", F.array_distinct(X.ngrams(F.col("w"), 5)).alias("g"))
+    return similar_pairs(y, "id", "g", 0.8)
