@@ -101,6 +101,11 @@ def ngrams(words: Column, n: int) -> Column:
     return F.flatten(F.transform(F.array(words), own))
 
 
+def char_ngrams(c: Column, n: int) -> Column:
+    """Runs of n signs, with repeats; a shorter text is one run, an empty one too."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substring(c, i, F.lit(n)))
+
+
 def hash_bucket(c: Column, buckets: int = 100) -> Column:
     """The first 32 bits of the SHA-256, modulo buckets."""
     return F.conv(F.substring(F.sha2(c, 256), 1, 8), 16, 10).cast("bigint") % buckets

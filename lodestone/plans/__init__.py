@@ -6,7 +6,7 @@ import importlib
 
 from lodestone.plans.registry import QUERIES, SQL, Query
 
-MODULES = ["scans", "contents", "texts", "events", "trials", "vectors", "policy", "policies", "sessions", "sources", "media", "streams", "dialogue", "campaign"]
+MODULES = ["scans", "contents", "texts", "events", "trials", "vectors", "policy", "policies", "sessions", "sources", "gates", "media", "streams", "dialogue", "campaign"]
 
 
 def _load() -> None:
