@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import decode, rules, rulesets
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, wide
 
 S, R_, D = ("attack_samples", "sample_no", "text"), ("evaluation_results", "result_no", "response_text"), ("documents", "doc_id", "text")
 
 
 def _scan(spark: SparkSession, d: str, of: tuple[str, str, str], own: list[rules.Rule]) -> DataFrame:
-    return rules.scan(table(spark, d, of[0]), of[1], of[2], own)
+    return rules.scan(wide(spark, d, of[0]), of[1], of[2], own)
 
 
 @query(rules.scan_sql(rulesets.LEAK, *S))
@@ -47,13 +47,13 @@ def _sum_sql(own: list[rules.Rule], weight: dict[str, float], of: tuple[str, str
 
 @query(_sum_sql(rulesets.PERSONA, rulesets.PERSONA_WEIGHT, S, True))
 def persona_scan(spark: SparkSession, d: str) -> DataFrame:
-    x, f = rules.looked_at(table(spark, d, S[0]), [S[1]], S[2], rulesets.PERSONA)
+    x, f = rules.looked_at(wide(spark, d, S[0]), [S[1]], S[2], rulesets.PERSONA)
     return x.select(S[1], f.alias("f")).select(S[1], F.size("f").alias("n_findings"), rulesets.summed_risk(F.col("f"), rulesets.PERSONA_WEIGHT, True).alias("risk"))
 
 
 @query(_sum_sql(rulesets.BEHAVIOUR, rulesets.BEHAVIOUR_WEIGHT, S, False))
 def behaviour_text_scan(spark: SparkSession, d: str) -> DataFrame:
-    x, f = rules.looked_at(table(spark, d, S[0]), [S[1]], S[2], rulesets.BEHAVIOUR)
+    x, f = rules.looked_at(wide(spark, d, S[0]), [S[1]], S[2], rulesets.BEHAVIOUR)
     return x.select(S[1], f.alias("f")).select(S[1], F.size("f").alias("n_findings"), rulesets.summed_risk(F.col("f"), rulesets.BEHAVIOUR_WEIGHT, False).alias("risk"))
 
 
@@ -73,11 +73,11 @@ _LIST = "[" + ", ".join("'" + c + "'" for c, _ in PLANTED) + "]"
 def _planted(spark: SparkSession, d: str) -> DataFrame:
     """Documents' first 300 characters followed by a planted sentence, in turns plain, with invisible characters, in full width and with look-alike letters."""
     own = F.get(F.array(*[F.struct(F.lit(c).alias("c"), F.lit(s).alias("s")) for c, s in PLANTED]), F.col("doc_id") % len(PLANTED))
-    x = table(spark, d, "documents").where("text is not null").select("doc_id", "text", own.alias("p"), F.expr(f"cast(doc_id div {len(PLANTED)} % 4 as int)").alias("way"))
+    x = wide(spark, d, "documents").where("text is not null").select("doc_id", "text", own.alias("p"), F.expr(f"cast(doc_id div {len(PLANTED)} % 4 as int)").alias("way"))
     s = F.col("p.s")
     ascii_ = "".join(map(chr, range(0x21, 0x7F)))
-    wide = F.translate(s, ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
-    disguised = F.when(F.col("way") == 0, s).when(F.col("way") == 1, F.regexp_replace(s, "([a-z])", "$1​")).when(F.col("way") == 2, wide).otherwise(F.translate(s, "aeopcx", "аеорсх"))
+    full = F.translate(s, ascii_, "".join(chr(ord(c) + 0xFEE0) for c in ascii_))
+    disguised = F.when(F.col("way") == 0, s).when(F.col("way") == 1, F.regexp_replace(s, "([a-z])", "$1​")).when(F.col("way") == 2, full).otherwise(F.translate(s, "aeopcx", "аеорсх"))
     return x.select("doc_id", F.col("p.c").alias("planted"), "way", F.concat(F.substring("text", 1, 300), F.lit(".\n"), disguised).alias("text"))
 
 
@@ -116,7 +116,7 @@ def _harm_sql() -> str:
 
 @query(_harm_sql())
 def harm_scan(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents")
+    x = wide(spark, d, "documents")
     f = rulesets.harm_scan(x, "doc_id", "text").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("confidence").alias("m"))
     return x.select("doc_id").join(f, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_findings"), F.coalesce("m", F.lit(0.0)).alias("risk"))
 
@@ -125,7 +125,7 @@ def harm_scan(spark: SparkSession, d: str) -> DataFrame:
     select sample_no, place, rule_id, severity, confidence from r where place <= 3""")
 def findings_in_order(spark: SparkSession, d: str) -> DataFrame:
     """The first three findings of each text, the gravest first, of equals the surest. A text's findings are an array, so they are put in order where they are."""
-    x, f = rules.looked_at(table(spark, d, S[0]), [S[1]], S[2], rules.INJECTION)
+    x, f = rules.looked_at(wide(spark, d, S[0]), [S[1]], S[2], rules.INJECTION)
     rank = lambda y: F.when(y["severity"] == "critical", 4).when(y["severity"] == "high", 3).when(y["severity"] == "medium", 2).otherwise(1)
     o = F.slice(F.array_sort(F.transform(f, lambda y: F.struct((-rank(y)).alias("a"), (-y["confidence"]).alias("b"), y["rule_id"].alias("rule_id"), y["severity"].alias("severity"), y["confidence"].alias("confidence")))), 1, 3)
     return x.select(S[1], F.posexplode(o).alias("i", "y")).select(S[1], (F.col("i") + 1).cast("long").alias("place"), "y.rule_id", "y.severity", "y.confidence")

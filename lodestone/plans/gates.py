@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from lodestone.functions import text as X
 from lodestone.operators import rules
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, wide
 from lodestone.plans.trials import _T, trial_rows
 
 
@@ -50,7 +50,7 @@ _SCAN = rules.scan_sql(rules.INJECTION, "evaluation_results", "result_no", "resp
     case when risk >= 0.9 then '' when risk >= 0.7 then '[removed]' else left(response_text, 60) end as shown from s join evaluation_results using (result_no)""")
 def output_gate(spark: SparkSession, d: str) -> DataFrame:
     """What is shown of an answer: all of it, a warning with it, a placeholder, nothing."""
-    x, f = rules.looked_at(table(spark, d, "evaluation_results"), ["result_no"], "response_text", rules.INJECTION)
+    x, f = rules.looked_at(wide(spark, d, "evaluation_results"), ["result_no"], "response_text", rules.INJECTION)
     x = x.select("result_no", "_raw", f.alias("f")).select("result_no", "_raw", F.round(rules.risk(F.col("f")), 6).alias("risk"))
     r = F.col("risk")
     gate = F.when(r >= 0.9, "refuse").when(r >= 0.7, "redact").when(r >= 0.4, "warn").otherwise("pass")
@@ -79,7 +79,7 @@ def short_texts_softened(spark: SparkSession, d: str) -> DataFrame:
     select s.doc_id, case when s.risk < 0.3 then 'allow' when d.text in (select text from k where text is not null) then 'allow' when s.risk > 0.7 then 'block' else 'flag' end as decision from s join documents d using (doc_id)""")
 def classified(spark: SparkSession, d: str) -> DataFrame:
     """From the text to the decision: plain form, rules, risk, the list of known texts (pages met more than once), thresholds."""
-    x = table(spark, d, "documents").select("doc_id", "text")
+    x = wide(spark, d, "documents").select("doc_id", "text")
     s = rules.scan(x, "doc_id", "text", rules.INJECTION).select("doc_id", "risk")
     h = x.select("doc_id", F.sha2("text", 256).alias("h"))
     k = h.where("h is not null").groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h", F.lit(True).alias("known"))

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import media, rules
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, wide
 
 
 @query(rules.scan_sql(rules.MARKUP, "documents", "doc_id", "text"))
 def markup_scan(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "documents"), "doc_id", "text", rules.MARKUP)
+    return rules.scan(wide(spark, d, "documents"), "doc_id", "text", rules.MARKUP)
 
 
 @query()
 def html_divergence(spark: SparkSession, d: str) -> DataFrame:
     """Documents as pages whose second half is hidden."""
-    x = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    x = wide(spark, d, "documents").where("text is not null").select("doc_id", "text")
     half = (F.length("text") / 2).cast("int")
     page = F.concat(F.lit("<html><body><p>"), F.substring("text", F.lit(1), half), F.lit('</p><div style="display:none">'), F.substring("text", half + 1, F.length("text")), F.lit("</div></body></html>"))
     return media.html_divergence(x.select("doc_id", page.alias("html")), "doc_id", "html").select("doc_id", F.round("ratio", 6).alias("ratio"), "severity")

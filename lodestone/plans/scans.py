@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import decode, rules
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, wide
 
 ALL = rules.INJECTION + rules.SECRETS
 
 
 @query(rules.scan_sql(ALL, "documents", "doc_id", "text"))
 def doc_scan_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "documents"), "doc_id", "text", ALL)
+    return rules.scan(wide(spark, d, "documents"), "doc_id", "text", ALL)
 
 
 @query(rules.findings_sql(ALL, "documents", "doc_id", "text"))
 def doc_findings(spark: SparkSession, d: str) -> DataFrame:
-    return rules.findings(table(spark, d, "documents"), "doc_id", "text", ALL)
+    return rules.findings(wide(spark, d, "documents"), "doc_id", "text", ALL)
 
 
 @query(f"select rule_id, category, count(*) as n_docs, sum(n_hits)::bigint as n_hits from ({rules.findings_sql(ALL, 'documents', 'doc_id', 'text')}) group by rule_id, category")
@@ -38,22 +38,22 @@ def doc_category_summary(spark: SparkSession, d: str) -> DataFrame:
 
 @query(rules.scan_sql(rules.INJECTION, "attack_samples", "sample_no", "text"))
 def attack_scan_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "attack_samples"), "sample_no", "text", rules.INJECTION)
+    return rules.scan(wide(spark, d, "attack_samples"), "sample_no", "text", rules.INJECTION)
 
 
 @query(rules.scan_sql(rules.SECRETS + rules.MARKUP, "evaluation_results", "result_no", "response_text"))
 def output_scan_verdict(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "evaluation_results"), "result_no", "response_text", rules.SECRETS + rules.MARKUP)
+    return rules.scan(wide(spark, d, "evaluation_results"), "result_no", "response_text", rules.SECRETS + rules.MARKUP)
 
 
 @query(rules.scan_sql(rules.COMMANDS, "evaluation_results", "result_no", "response_text"))
 def command_scan(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "evaluation_results"), "result_no", "response_text", rules.COMMANDS)
+    return rules.scan(wide(spark, d, "evaluation_results"), "result_no", "response_text", rules.COMMANDS)
 
 
 @query(rules.scan_sql(rules.UNICODE, "attack_samples", "sample_no", "text"))
 def unicode_scan(spark: SparkSession, d: str) -> DataFrame:
-    return rules.scan(table(spark, d, "attack_samples"), "sample_no", "text", rules.UNICODE)
+    return rules.scan(wide(spark, d, "attack_samples"), "sample_no", "text", rules.UNICODE)
 
 
 @query(f"""select f.doc_id, f.rule_id, f.category, f.confidence from ({rules.findings_sql(ALL, 'documents', 'doc_id', 'text')}) f
@@ -98,7 +98,7 @@ def trigger_then_target(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def decoded_findings(spark: SparkSession, d: str) -> DataFrame:
     """Findings in encoded parts of documents, up to three layers deep."""
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = wide(spark, d, "documents").select("doc_id", "text")
     return decode.decode_and_scan(docs, "doc_id", "text", rules.INJECTION)
 
 

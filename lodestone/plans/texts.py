@@ -8,14 +8,14 @@ from pyspark.sql import Window as W
 
 from lodestone.functions import text as X
 from lodestone.operators.dedup import similar_pairs
-from lodestone.plans.registry import query, table
+from lodestone.plans.registry import query, table, wide
 
 
 @query("""with c as (select doc_id, unnest(string_split(text, '')) as ch from documents where text <> ''), n as (select doc_id, ch, count(*) as k from c group by doc_id, ch),
     t as (select doc_id, k, sum(k) over (partition by doc_id) as s, count(*) over (partition by doc_id) as u from n)
     select doc_id, max(u)::bigint as n_distinct, round(sum(-(k / s) * log2(k / s)), 6) as entropy from t group by doc_id""")
 def doc_char_entropy(spark: SparkSession, d: str) -> DataFrame:
-    x = table(spark, d, "documents").where("text <> ''").select("doc_id", X.char_counts(F.col("text")).alias("c"))
+    x = wide(spark, d, "documents").where("text <> ''").select("doc_id", X.char_counts(F.col("text")).alias("c"))
     return x.select("doc_id", F.col("c.n_distinct").alias("n_distinct"), F.round("c.entropy", 6).alias("entropy"))
 
 
@@ -24,7 +24,7 @@ def doc_char_entropy(spark: SparkSession, d: str) -> DataFrame:
     select doc_id, sum(k)::bigint as top5, max(s)::bigint as n_words, round(sum(k) / max(s), 6) as share, (sum(k) / max(s) >= 0.18 and max(k) >= 7) as stuffed from r where rn <= 5 group by doc_id""")
 def doc_keyword_stuffing(spark: SparkSession, d: str) -> DataFrame:
     # most common words are found text by text, where the text is; nothing is shuffled
-    x = table(spark, d, "documents").select("doc_id", X.common_words(F.col("text"), 5, 4).alias("c")).where("c.n_words > 0")
+    x = wide(spark, d, "documents").select("doc_id", X.common_words(F.col("text"), 5, 4).alias("c")).where("c.n_words > 0")
     share = F.col("c.top") / F.col("c.n_words")
     return x.select("doc_id", F.col("c.top").alias("top5"), F.col("c.n_words").alias("n_words"), F.round(share, 6).alias("share"), ((share >= 0.18) & (F.col("c.most") >= 7)).alias("stuffed"))
 
