@@ -89,3 +89,17 @@ def cluster_bootstrap(df: DataFrame, group: str, cluster: str, hit: Column, roun
         return pd.DataFrame({group: [p[group].iloc[0]], "mean": [mean], "low": [np.quantile(m, 0.025)], "high": [np.quantile(m, 0.975)]})
 
     return c.groupBy(group).applyInPandas(one, T.StructType([df.schema[group], *[T.StructField(x, T.DoubleType()) for x in ("mean", "low", "high")]]))
+
+
+def paired_bootstrap(df: DataFrame, unit: list[str], side: str, a: str, b: str, hit: Column, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """n, difference, low, high: percentile interval of the difference of rates between two sides over resampled units, which are only counted by their own difference. One row; null without units."""
+    import numpy as np
+
+    u = df.where(F.col(side).isin(a, b)).groupBy(*unit).agg(*[F.max(F.when(F.col(side) == s, F.when(hit, 1).otherwise(0))).alias(c) for s, c in ((a, "a"), (b, "b"))]).where("a is not null and b is not null")
+    k = {r["d"]: r["n"] for r in u.groupBy((F.col("a") - F.col("b")).alias("d")).agg(F.count("*").alias("n")).collect()}
+    counts, own = np.array(list(k.values()), float), np.array(list(k), float)
+    row = (int(counts.sum()), None, None, None)
+    if k:
+        m = stats.bootstrap_means(counts, own, np.ones(len(own)), rounds, seed)
+        row = (row[0], float(counts @ own / counts.sum()), float(np.quantile(m, 0.025)), float(np.quantile(m, 0.975)))
+    return df.sparkSession.createDataFrame([row], "n long, difference double, low double, high double")

@@ -72,3 +72,41 @@ def nearest_centroid(df: DataFrame, key: str, label: str, vector: str) -> DataFr
     scored = F.transform("all", lambda y: F.struct(F.round(cosine(F.col("v"), y["c"]), 6).alias("score"), (-y["label"]).alias("neg")))
     best = x.select(key, "given", F.array_max(scored).alias("m"))
     return best.select(key, "given", (-F.col("m.neg")).alias("nearest"), F.col("m.score").alias("score"))
+
+
+def mahalanobis(df: DataFrame, key: str, label: str, vector: str, ridge: float = 1e-6) -> DataFrame:
+    """key, distance of each vector to its label's mean, in the metric of the pooled covariance. Only sums (dimensions squared) and one mean a label are on the driver. Null vectors are left out."""
+    import numpy as np
+    import pandas as pd
+
+    x = df.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+
+    def sums(batches):
+        n, total, square = {}, {}, None
+        for b in batches:
+            if len(b):
+                m = np.stack([np.asarray(v, float) for v in b[vector]])
+                square = m.T @ m + (0 if square is None else square)
+                for k in b[label].unique():
+                    own = m[(b[label] == k).to_numpy()]
+                    n[k], total[k] = n.get(k, 0) + len(own), total.get(k, 0) + own.sum(0)
+        if square is not None:
+            yield pd.DataFrame({"label": [str(k) for k in n], "n": list(n.values()), "s": [v.tolist() for v in total.values()], "q": [square.ravel().tolist()] + [None] * (len(n) - 1)})
+
+    n, total, square = {}, {}, 0.0
+    for r in x.select(label, vector).mapInPandas(sums, "label string, n long, s array<double>, q array<double>").collect():
+        n[r["label"]], total[r["label"]] = n.get(r["label"], 0) + r["n"], total.get(r["label"], 0) + np.array(r["s"])
+        square = square + (np.array(r["q"]) if r["q"] is not None else 0.0)
+    mean = {k: total[k] / n[k] for k in n}
+    if n:
+        d = len(next(iter(mean.values())))
+        cov = (np.array(square).reshape(d, d) - sum(n[k] * np.outer(mean[k], mean[k]) for k in n)) / max(sum(n.values()) - len(n), 1)
+        inverse = np.linalg.inv(cov + ridge * np.eye(d))
+
+    def away(batches):
+        for b in batches:
+            delta = np.stack([np.asarray(v, float) - mean[str(k)] for v, k in zip(b[vector], b[label], strict=True)]) if len(b) else None
+            yield pd.DataFrame({key: b[key], "distance": np.sqrt(np.maximum(np.einsum("ij,jk,ik->i", delta, inverse, delta), 0)) if len(b) else []})
+
+    return x.select(key, label, vector).mapInPandas(away, f"`{key}` {kinds[key]}, distance double")

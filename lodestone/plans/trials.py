@@ -249,3 +249,8 @@ def interleaved_shards(spark: SparkSession, d: str) -> DataFrame:
     x = k.join(F.broadcast(sizes))
     at = F.aggregate("all", F.lit(0).cast("bigint"), lambda a, y: a + F.least(y["s"], F.col("k") - 1) + F.when((y["label"] < F.col("label")) & (y["s"] >= F.col("k")), 1).otherwise(0))
     return x.select("sample_no", (at % 8).alias("shard"))
+
+
+@query()
+def trial_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
+    return trials.paired_bootstrap(valid_rows(spark, d), ["attack_id"], "model", "tolva-2", "tolva-2-fast", _hit())

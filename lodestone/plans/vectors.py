@@ -73,3 +73,9 @@ def exemplar_match(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
     t = vectors.top_k(e.where("vec_id % 20 = 0"), e.where("label = 0"), "vec_id", "embedding", 1)
     return t.select(F.col("query").alias("vec_id"), "score", (F.col("score") >= 0.3).alias("matched"))
+
+
+@query()
+def embedding_distances(spark: SparkSession, d: str) -> DataFrame:
+    """How far each vector is from its label's mean, by the pooled covariance."""
+    return vectors.mahalanobis(table(spark, d, "embeddings"), "vec_id", "label", "embedding").withColumn("distance", F.round("distance", 6))

@@ -321,3 +321,26 @@ def test_more_sources(spark, tmp_path):
     assert [tuple(y) for y in x[0]["u"]] == [("text/plain", "hello"), ("", "a b")] and x[2]["u"] == []
     assert files.markdown(spark.createDataFrame([("a|b", None)], "x string, y int")) == "| x | y |\n| --- | --- |\n| a\\|b |  |"
     assert media.hides("color: red; DISPLAY : none !important") and media.hides("left:-9999px") and not media.hides("opacity: 0.5; display: block") and not media.hides(None)
+
+
+def test_distances_by_covariance(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=(80, 4)) * [1, 2, 3, 4]
+    label = [i % 3 for i in range(80)]
+    df = spark.createDataFrame([(i, k, v.tolist()) for i, (k, v) in enumerate(zip(label, m))] + [(99, 1, None)], "id long, label int, v array<double>").repartition(3)
+    own = np.array(label)
+    center = np.stack([m[own == k].mean(0) for k in range(3)])[own]
+    cov = (m - center).T @ (m - center) / (80 - 3) + 1e-6 * np.eye(4)
+    want = np.sqrt(np.einsum("ij,jk,ik->i", m - center, np.linalg.inv(cov), m - center))
+    got = {r["id"]: r["distance"] for r in vectors.mahalanobis(df, "id", "label", "v").collect()}
+    assert len(got) == 80 and all(abs(got[i] - want[i]) < 1e-6 for i in got)
+    assert vectors.mahalanobis(df.limit(0), "id", "label", "v").count() == 0
+
+
+def test_paired_bootstrap_surrounds_the_difference(spark):
+    df = spark.createDataFrame([(i, s, (i + j) % (2 + j)) for i in range(60) for j, s in enumerate("xy")], "u int, s string, h int")
+    r = trials.paired_bootstrap(df, ["u"], "s", "x", "y", F.col("h") == 0).first()
+    assert r["n"] == 60 and r["low"] <= r["difference"] <= r["high"] and abs(r["difference"] - (0.5 - 1 / 3)) < 1e-9
+    assert trials.paired_bootstrap(df.limit(0), ["u"], "s", "x", "y", F.col("h") == 0).first()["difference"] is None
