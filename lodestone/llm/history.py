@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint_dir, discard, later_deliveries, stored, tidy
-from lodestone.llm.wordsets import BANDS, PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_segments, with_windows
+from lodestone.llm.wordsets import BANDS, PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_both, with_segments, with_windows
 
 
 class SegmentIndex:
@@ -39,9 +39,9 @@ class SegmentIndex:
         kinds = F.array(*[F.when(c.isNotNull(), F.xxhash64(F.lit(f"key {i}"), c)) for i, c in enumerate(keys)])
         return df.select(F.explode(kinds).alias("k"), "no").where("k is not null")
 
-    def append(self, df: DataFrame, keys: list[Column], text: str = "text") -> None:
-        """df has `no`, the text and the columns of which keys are made. Null keys and texts without words make no entry."""
-        seg = stored(with_segments(df.select("no", F.col(text).alias("text"))), "segments")
+    def append(self, df: DataFrame, keys: list[Column], text: str = "text", sketch: DataFrame | None = None) -> None:
+        """df has `no`, the text and the columns of which keys are made. Null keys and texts without words make no entry. sketch: with_both of the texts, if there is one."""
+        seg = sketch.drop("segment", "at").withColumnRenamed("own", "segment") if sketch is not None else stored(with_segments(df.select("no", F.col(text).alias("text"))), "segments")
         alone = self._keys(df, keys).unionByName(seg.select(F.xxhash64(F.lit("words"), "multiset", "n").alias("k"), "no"))
         alone = alone.groupBy("k").agg(F.min("no").alias("no")).selectExpr("k", "no", "0 as n", "0 as at", "0L as bits")
         # of texts with the same words in the same order the first stands for all; only the later ones' numbers travel
@@ -55,11 +55,13 @@ class SegmentIndex:
         with tidy(self.spark):
             alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd").option("path", self._path(name)).saveAsTable(name)
         self.tables.append(name)
-        discard(seg, later)
+        discard(later)
+        if sketch is None:
+            discard(seg)
 
-    def probe(self, df: DataFrame, keys: list[Column], text: str = "text") -> DataFrame:
+    def probe(self, df: DataFrame, keys: list[Column], text: str = "text", sketch: DataFrame | None = None) -> DataFrame:
         """probe_no, no, sure: entries with a smaller no that match (sure) or may match one of df's rows."""
-        win = stored(with_windows(df.select("no", F.col(text).alias("text"))), "windows")
+        win = sketch if sketch is not None else stored(with_windows(df.select("no", F.col(text).alias("text"))), "windows")
         alone = self._keys(df, keys).unionByName(win.select(F.xxhash64(F.lit("words"), "multiset", "n").alias("k"), "no"))
         alone = alone.selectExpr("k", "no as p_no", "0 as p_n", "0 as p_at", "0L as p_bits")
         sub = win.select(F.explode(F.arrays_zip("segment", "at")).alias("s"), "no", "n", "bits").select(F.col("s.segment").alias("k"), F.col("no").alias("p_no"), F.col("n").alias("p_n"), F.col("s.at").alias("p_at"), F.col("bits").alias("p_bits"))
@@ -99,8 +101,9 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Colu
     waiting = [r[0] for r in incoming.select(batch).distinct().orderBy(batch).collect()]
     for i in range(0, len(waiting), together):
         part = incoming.where(functools.reduce(Column.__or__, [F.col(batch).eqNullSafe(F.lit(b)) for b in waiting[i : i + together]]))
-        index.append(part, keys, text)
-        found.append(index.probe(part, keys, text))
+        both = stored(with_both(part.select("no", F.col(text).alias("text"))), "sketches")
+        index.append(part, keys, text, both)
+        found.append(index.probe(part, keys, text, both))
     index.drop()
     if not found:
         return history.select(F.col("no").alias("match_no"), "no").limit(0)

@@ -129,6 +129,7 @@ class Sketch:
         self.h = h
         self.key = keys(h, counts)
         self.starts = np.cumsum(self.n) - self.n
+        self.band: np.ndarray | None = None
         if len(self.has):
             self.bits = np.bitwise_xor.reduceat(U(1) << (self.key >> U(58)), self.starts).view(np.int64)
             self.more = np.bitwise_xor.reduceat(U(1) << ((self.key >> U(40)) & U(63)), self.starts).view(np.int64)
@@ -199,7 +200,9 @@ def _with_bands(s: Sketch, found: list[pa.Array]) -> list[pa.Array]:
     """Segments or windows, followed by the text's MinHash bands at place -1."""
     segment, at = (x.flatten().to_numpy() for x in found)
     counts = np.diff(found[0].offsets.to_numpy())
-    band = mix(bands(s.key, s.starts).view(np.uint32).astype(np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) << U(40))).view(np.int64)
+    if s.band is None:
+        s.band = bands(s.key, s.starts)
+    band = mix(s.band.view(np.uint32).astype(np.uint64) + (np.arange(1, BANDS + 1, dtype=np.uint64) << U(40))).view(np.int64)
     end = np.repeat(np.cumsum(counts), BANDS)
     return [_lists(np.insert(segment, end, band.ravel()), counts + BANDS, pa.int64()), _lists(np.insert(at, end, np.int32(-1)), counts + BANDS, pa.int32())]
 
@@ -229,6 +232,11 @@ def with_windows(df: DataFrame) -> DataFrame:
     return _mapped(df, "segment array<bigint>, at array<int>", lambda s: _with_bands(s, _windows(s)))
 
 
+def with_both(df: DataFrame) -> DataFrame:
+    """As with_windows, and `own`, which is with_segments' segment, from one reading of the text."""
+    return _mapped(df, "segment array<bigint>, at array<int>, own array<bigint>", lambda s: _with_bands(s, _windows(s)) + _with_bands(s, _segments(s))[:1])
+
+
 def may_be_near(n: str, m: str, bits: str, other: str) -> Column:
     """No near copy fails this: the shorter has four fifths of the longer's words, and at most (n + m) / 9 words aren't shared, each
     of which turns one of the 64 bits."""
