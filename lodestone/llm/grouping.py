@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import stored
 from lodestone.llm.packing import ranked
+from lodestone.operators.fold import folded
 
 SALTS = 16
 
@@ -52,10 +53,6 @@ def related(df: DataFrame, key: str, links: list[Column]) -> DataFrame:
     return connected(star_edges(df, key, links))
 
 
-#: Different label vectors that are placed at most; where there are more, those of components with the same rounded vector are placed together.
-VECTORS = 50_000
-
-
 def _allotted(need: list[list[float]], i: int, vector: list[float], m: int) -> list[int]:
     """How many of m equal components each split gets if they go one by one to the split that needs label i most: needs are evened out from above."""
     k, v = len(need), vector[i]
@@ -79,15 +76,14 @@ def _allotted(need: list[list[float]], i: int, vector: list[float], m: int) -> l
     return out
 
 
-def grouped_splits(rows: DataFrame, targets: list[tuple[str, float]], vectors: int = VECTORS) -> DataFrame:
+def grouped_splits(rows: DataFrame, targets: list[tuple[str, float]], vectors: int | None = None) -> DataFrame:
     """rows (key, component, label) with `split`: components stay whole, each split gets about its share of each label.
 
     Grouped iterative stratification over components' label vectors: of the outstanding labels the rarest comes first, and its components, the largest first, go to the split that
-    needs most of it. Components with the same vector are alike, so the plan is made for vectors and numbers of components, of which the driver gets at most `vectors` (beyond that,
-    numbers of labels are rounded, by as little as suffices), and components take their places by their rank within the vector. A null label is a label; a column `split` that
-    rows have is replaced.
+    needs most of it. Components with the same vector are alike, so the plan is made for vectors and numbers of components, and components take their places by their rank within
+    the vector. Every vector is planned as it is, however many there are: they go by in order in one task, which keeps what the splits need; the driver gets sums by label only.
+    A null label is a label; a column `split` that rows have is replaced. vectors has no effect; it was the number of vectors beyond which they were rounded.
     """
-    spark = rows.sparkSession
     rows = stored(rows.drop("split").withColumn("label", F.coalesce("label", F.lit(""))), "rows")
     names, shares = [t[0] for t in targets], [t[1] for t in targets]
     totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -95,34 +91,27 @@ def grouped_splits(rows: DataFrame, targets: list[tuple[str, float]], vectors: i
     if not labels:
         return rows.withColumn("split", F.lit(None).cast("string"))
     span = range(len(labels))
-    own = stored(rows.groupBy("component").agg(*[F.sum(F.when(F.col("label") == x, 1).otherwise(0)).alias(f"l{i}") for i, x in enumerate(labels)]), "vectors")
-    for step in (0.0, 0.1, 0.25, 0.5, 1.0, 3.0):  # numbers are rounded to powers of 1 + step
-        shape = [F.when(F.col(f"l{i}") <= 1, F.col(f"l{i}")).otherwise(F.round(F.log(F.col(f"l{i}").cast("double")) / F.log(F.lit(1 + step))).cast("long") + 1) if step else F.col(f"l{i}") for i in span]
-        kinds = own.withColumn("kind", F.xxhash64(*shape))
-        if step == 3.0 or kinds.agg(F.approx_count_distinct("kind")).first()[0] <= 0.9 * vectors:
-            break
-    kinds = stored(kinds.select("component", "kind", *[f"l{i}" for i in span]), "kinds")
-    plan = [(r["kind"], r["m"], [r[f"l{i}"] / r["m"] for i in span]) for r in kinds.groupBy("kind").agg(F.count("*").alias("m"), *[F.sum(f"l{i}").alias(f"l{i}") for i in span]).collect()]
+    own = rows.groupBy("component").agg(F.array(*[F.sum(F.when(F.col("label") == x, 1).otherwise(0)) for x in labels]).alias("vector"))
+    own = stored(own, "vectors")
+    kinds = stored(own.groupBy("vector").agg(F.count("*").alias("m")), "kinds")
+    # the labels in the order of their turns: what is outstanding after a turn is what components without that label and those before have
+    turns, left, out = [], kinds, [totals[x] for x in labels]
+    while any(out):
+        i = min((i for i in span if out[i]), key=lambda i: (out[i], i))
+        turns.append(i)
+        left = left.where(F.col("vector")[i] == 0)
+        out = [x or 0 for x in left.agg(*[F.sum(F.col("vector")[j] * F.col("m")) for j in span]).first()] if sum(map(bool, out)) > 1 else []
     need = [[s / sum(shares) * totals[x] for x in labels] for s in shares]
-    out = [sum(m * v[i] for _, m, v in plan) for i in span]
-    waiting = [sorted((x for x in plan if x[2][i]), key=lambda x: (-sum(x[2]), x[0])) for i in span]
-    done: set[int] = set()
-    placed: list[tuple] = []
-    while any(waiting):
-        i = min((i for i in span if waiting[i]), key=lambda i: (out[i], i))
-        for kind, m, v in waiting[i]:
-            if kind in done:
-                continue
-            done.add(kind)
-            n = _allotted(need, i, v, m)
-            for s, k in enumerate(n):
-                need[s] = [a - k * b for a, b in zip(need[s], v, strict=True)]
-            out = [a - m * b for a, b in zip(out, v, strict=True)]
-            placed.append((kind, [sum(n[: s + 1]) for s in range(len(n))]))
-        waiting[i] = []
-        waiting = [[x for x in w if x[0] not in done] for w in waiting]
+
+    def place(need: list[list[float]], turn: int, m: int, vector: list[int]) -> tuple:
+        v = [float(x) for x in vector]
+        n = _allotted(need, turns[turn], v, m)
+        return [[a - k * b for a, b in zip(x, v, strict=True)] for x, k in zip(need, n, strict=True)], (vector, [sum(n[: s + 1]) for s in range(len(n))])
+
+    turn = F.coalesce(*[F.when(F.col("vector")[i] > 0, F.lit(t)) for t, i in enumerate(turns)])
+    plan = kinds.select("vector", "m", F.lit(0).alias("all"), turn.alias("turn"), F.aggregate("vector", F.lit(0).cast("long"), lambda a, x: a - x).alias("less"), F.xxhash64(*[F.col("vector")[i] for i in span]).alias("mixed"))
+    ends = stored(folded(plan, "all", ["turn", "less", "mixed", "vector"], ["turn", "m", "vector"], lambda: need, place, "vector array<bigint>, ends array<bigint>").drop("all"), "ends")
     # a component's rank in its vector's places, which are mixed so that neighbours don't go to the same split for being neighbours
-    where = ranked(kinds.select("component", "kind"), "kind", F.struct(F.xxhash64(F.lit("split"), "component"), "component"))
-    ends = spark.createDataFrame(placed, "kind long, ends array<long>")
+    where = ranked(own, "vector", F.struct(F.xxhash64(F.lit("split"), "component"), "component"))
     split = F.element_at(F.array(*map(F.lit, names)), F.size(F.filter("ends", lambda e: e <= F.col("rank"))) + 1)
-    return rows.join(where.join(ends, "kind").select("component", split.alias("split")), "component")
+    return rows.join(where.join(ends, "vector").select("component", split.alias("split")), "component")

@@ -229,6 +229,31 @@ def test_small_components_are_stratified_by_their_labels(spark):
             assert abs(k - share[s] * total[x]) <= max(4, 0.02 * total[x]), (x, s, k, total[x])
 
 
+def test_splits_do_not_depend_on_how_many_label_vectors_there_are(spark):
+    """Each vector is planned as it is, in the order of the labels' turns, as a plan made in one list has it."""
+    rng = random.Random(7)
+    data = [(c, x) for c in range(600) for x in rng.choices(["a", "b", "c", "rare"], [10, 6, 3, 0.3], k=rng.choice([1, 2, 3, 9, 30]))]
+    targets, labels = [("train", 0.8), ("val", 0.1), ("test", 0.1)], sorted("abc") + ["rare"]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(data)], "id long, component long, label string")
+    got = [{r["component"]: r["split"] for r in grouping.grouped_splits(df, targets, most).collect()} for most in (20, 50_000)]
+    assert got[0] == got[1] and len(got[0]) == 600
+    count = Counter(data)
+    vector = {c: tuple(count[c, x] for x in labels) for c in range(600)}
+    kinds, total = Counter(vector.values()), [sum(v[i] for v in vector.values()) for i in range(4)]
+    assert len(kinds) > 100
+    place = Counter((vector[c], s) for c, s in got[0].items())
+    need, waiting = [[s * x for x in total] for _, s in targets], set(kinds)
+    mixed = {tuple(r["v"]): r["h"] for r in spark.createDataFrame([(list(k),) for k in kinds], "v array<long>").select("v", F.xxhash64(*[F.col("v")[i] for i in sorted(range(4), key=lambda i: (total[i], labels[i]))]).alias("h")).collect()}
+    while waiting:
+        out = [sum(v[i] * kinds[v] for v in waiting) for i in range(4)]
+        i = min((i for i in range(4) if out[i]), key=lambda i: (out[i], total[i], labels[i]))
+        for v in sorted((v for v in waiting if v[i]), key=lambda v: (-sum(v), mixed[v])):
+            n = grouping._allotted(need, i, list(v), kinds[v])
+            need = [[a - k * b for a, b in zip(x, v)] for x, k in zip(need, n)]
+            assert [place[v, s] for s, _ in targets] == n, v
+            waiting.remove(v)
+
+
 def test_long_chain_is_one_component(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
     assert {r["component"] for r in grouping.connected(e).collect()} == {0}
