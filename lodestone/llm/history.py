@@ -3,8 +3,8 @@
 A near copy shares four fifths of all words, however they are placed. A text is stored as its MinHash bands over words counted with repeats, as in problem 2,
 of which one shared band makes a candidate whatever the words' order, and as its segments of seven words (shorter ones in short texts) with their positions, which
 prove what the bands can't where words are replaced in place, at most one in nine: all the batch text's substrings of seven words are looked up. Segment hits
-must agree in length and place as far as the number of edits allows, and a pair needs two of them (one where the text is short). All candidates pass a bound on unshared words;
-what remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
+must agree in length and place as far as the number of edits allows, and a pair needs two of them (one where the text is short). All candidates pass a bound on unshared words,
+first by a sketch of 64 bits that every entry has, then by one that is as long as the text needs, of which there is one a text; what remains is verified exactly. Keys (id, family) and whole multisets of words are further entries of the same index. Appending a batch writes its entries
 as another table; what is in the index is never worked out again, and joins read it in the buckets in which it was written.
 """
 
@@ -17,11 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import checkpoint_dir, discard, later_deliveries, stored, tidy
-from lodestone.llm.wordsets import BANDS, PER_SEGMENT, SEGMENT, may_be_near, near_verified, with_both, with_segments, with_windows
+from lodestone.llm.wordsets import BANDS, PER_SEGMENT, SEGMENT, may_be_near, may_be_near_widely, near_verified, with_both, with_segments, with_windows
 
 
 class SegmentIndex:
     """Entries (k, no, n, at, bits) in tables bucketed by k. n is 0 for entries that match by k alone; of those the smallest no is kept. at is -1 for bands.
+    Beside each table there is one of the texts' wide sketches (no, n, wide).
 
     An index of a name that the catalog has is opened: what was appended to it, in whatever session, is found.
     """
@@ -32,6 +33,10 @@ class SegmentIndex:
         self.prefix = f"lodestone_index_{name or uuid.uuid4().hex}_"
         self.tables = sorted(t.name for t in spark.catalog.listTables(pattern=self.prefix + "*")) if name else []
 
+    @staticmethod
+    def _sketches(table: str) -> str:
+        return table.replace("lodestone_index_", "lodestone_sketches_", 1)
+
     def _path(self, table: str) -> str:
         return f"{checkpoint_dir(self.spark)}/lodestone/{table}"
 
@@ -54,6 +59,8 @@ class SegmentIndex:
         name = f"{self.prefix}{len(self.tables):06d}"
         with tidy(self.spark):
             alone.unionByName(parts).repartition(self.buckets, "k").write.bucketBy(self.buckets, "k").option("compression", "zstd").option("path", self._path(name)).saveAsTable(name)
+            own = self._sketches(name)
+            seg.select("no", "n", "wide").write.option("compression", "zstd").option("path", self._path(own)).saveAsTable(own)
         self.tables.append(name)
         discard(later)
         if sketch is None:
@@ -81,8 +88,17 @@ class SegmentIndex:
         discard(win)
         return out
 
+    def narrowed(self, pairs: DataFrame) -> DataFrame:
+        """The rows of pairs (probe_no, no), both of texts that were appended, without those that their wide sketches show not to be near copies. A text without a sketch stays."""
+        own = [self.spark.table(t) for t in map(self._sketches, self.tables) if self.spark.catalog.tableExists(t)]
+        if not own:
+            return pairs
+        wide = functools.reduce(DataFrame.unionByName, own)
+        a, b = wide.selectExpr("no as probe_no", "n as _n", "wide as _a"), wide.selectExpr("no", "n as _m", "wide as _b")
+        return pairs.join(a, "probe_no", "left").join(b, "no", "left").where(may_be_near_widely("_n", "_m", "_a", "_b")).select(*pairs.columns)
+
     def drop(self) -> None:
-        for name in self.tables:
+        for name in [x for t in self.tables for x in (t, self._sketches(t))]:
             self.spark.sql(f"drop table if exists {name}")
             discard(self._path(name))
         self.tables = []
@@ -104,13 +120,15 @@ def repeats(history: DataFrame, incoming: DataFrame, batch: str, keys: list[Colu
         both = stored(with_both(part.select("no", F.col(text).alias("text"))), "sketches")
         index.append(part, keys, text, both)
         found.append(index.probe(part, keys, text, both))
-    index.drop()
     if not found:
+        index.drop()
         return history.select(F.col("no").alias("match_no"), "no").limit(0)
     all_ = functools.reduce(DataFrame.unionByName, found)
     texts = history.select(F.col("no").alias("key"), F.col(text).alias("text")).unionByName(incoming.select(F.col("no").alias("key"), F.col(text).alias("text")))
     sure = all_.where("sure").groupBy("probe_no").agg(F.min("no").alias("no"))
     # only candidates with a smaller number than what is sure can change the result
     open_ = all_.where("not sure").join(sure.select("probe_no", F.col("no").alias("least")), "probe_no", "left").where("least is null or no < least").select("probe_no", "no")
-    near = near_verified(stored(open_, "open"), texts, "probe_no", "no")
+    open_ = stored(index.narrowed(open_), "open")
+    index.drop()
+    near = near_verified(open_, texts, "probe_no", "no")
     return sure.unionByName(near.select("probe_no", "no")).groupBy("probe_no").agg(F.min("no").alias("match_no")).select("match_no", F.col("probe_no").alias("no"))

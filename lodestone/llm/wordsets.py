@@ -207,9 +207,23 @@ def _with_bands(s: Sketch, found: list[pa.Array]) -> list[pa.Array]:
     return [_lists(np.insert(segment, end, band.ravel()), counts + BANDS, pa.int64()), _lists(np.insert(at, end, np.int32(-1)), counts + BANDS, pa.int32())]
 
 
+def wide(key: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text a sketch as `bits`, of a bit a word at least: its longs one text after the other, and how many each has, a power of two. A key falls on the bit
+    that its lowest digits say, so the two halves of a sketch, one turned by the other, are the sketch of half the length."""
+    size = np.left_shift(1, np.ceil(np.log2(np.maximum(1, n / 64))).astype(np.int64))
+    flat = np.zeros(int(size.sum()), np.uint64)
+    at = np.repeat(np.cumsum(size) - size, n) + ((key >> U(6)).astype(np.int64) & np.repeat(size - 1, n))
+    np.bitwise_xor.at(flat, at, U(1) << (key & U(63)))
+    return flat.view(np.int64), size
+
+
+def _wide(s: Sketch) -> list[pa.Array]:
+    return [_lists(*wide(s.key, s.starts, s.n), pa.int64())]
+
+
 def with_segments(df: DataFrame) -> DataFrame:
-    """Adds n, bits, multiset and segment (array of long: hashes of the segments, in order, then of the MinHash bands)."""
-    return _mapped(df, "segment array<bigint>", lambda s: _with_bands(s, _segments(s))[:1])
+    """Adds n, bits, multiset, segment (array of long: hashes of the segments, in order, then of the MinHash bands) and wide."""
+    return _mapped(df, "segment array<bigint>, wide array<bigint>", lambda s: _with_bands(s, _segments(s))[:1] + _wide(s))
 
 
 @functools.lru_cache(10_000)
@@ -233,8 +247,8 @@ def with_windows(df: DataFrame) -> DataFrame:
 
 
 def with_both(df: DataFrame) -> DataFrame:
-    """As with_windows, and `own`, which is with_segments' segment, from one reading of the text."""
-    return _mapped(df, "segment array<bigint>, at array<int>, own array<bigint>", lambda s: _with_bands(s, _windows(s)) + _with_bands(s, _segments(s))[:1])
+    """As with_windows, `own`, which is with_segments' segment, and wide, from one reading of the text."""
+    return _mapped(df, "segment array<bigint>, at array<int>, own array<bigint>, wide array<bigint>", lambda s: _with_bands(s, _windows(s)) + _with_bands(s, _segments(s))[:1] + _wide(s))
 
 
 def may_be_near(n: str, m: str, bits: str, other: str) -> Column:
@@ -243,6 +257,13 @@ def may_be_near(n: str, m: str, bits: str, other: str) -> Column:
     return F.expr(f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * bit_count({bits} ^ {other}) <= {n} + {m}")
 
 
+def may_be_near_widely(n: str, m: str, a: str, b: str) -> Column:
+    """No near copy fails this: a and b are texts' wide sketches, of which the longer is brought to the length of the shorter. Where one is missing or of less than half the length, true."""
+    half = lambda x, y: f"if(size({x}) = 2 * size({y}), zip_with(slice({x}, 1, size({y})), slice({x}, size({y}) + 1, size({y})), (p, q) -> p ^ q), {x})"
+    turned = f"aggregate(zip_with({half(a, b)}, {half(b, a)}, (p, q) -> bit_count(p ^ q)), 0, (x, y) -> x + y)"
+    return F.expr(f"coalesce(9 * {turned} <= {n} + {m}, true)")
+
+
 def is_near(keys_a: str, keys_b: str) -> Column:
     return F.expr(f"9 * size(array_intersect({keys_a}, {keys_b})) >= 4 * (size({keys_a}) + size({keys_b}))")
 

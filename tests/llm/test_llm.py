@@ -457,6 +457,35 @@ def test_history_finds_scattered_and_reordered_copies(spark):
     assert {r["no"]: r["match_no"] for r in found.collect()} == {1000 + i: i for i in range(120)}
 
 
+def test_wide_sketches_keep_near_copies_and_few_others(spark):
+    """Texts of one template, which share half of their words: the 64 bits that entries have say nothing of long texts."""
+    rng = random.Random(8)
+    data, want = [], set()
+    for i in range(300):
+        n = rng.choice([3, 20, 63, 64, 65, 130, 250, 520, 1300])
+        w = [f"t{j}" if j % 2 else f"x{i}y{j}" for j in range(n)]
+        x = list(w)
+        for j in rng.sample(range(n), n // 9):  # o / (n + m - o) is 4/5 at least
+            x[j] = f"z{j}"
+        if i % 3 == 0:
+            x += [f"a{j}" for j in range(max(0, (9 * (n - n // 9) - 8 * n) // 4))]
+        elif i % 3 == 1:
+            x = w[: n - n // 5]
+        data += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(x))]
+        want.add((2 * i, 2 * i + 1))
+    df = spark.createDataFrame(data, "no long, text string")
+    index = history.SegmentIndex(spark)
+    index.append(df, [])
+    a, b = df.select(F.col("no").alias("probe_no")), df.select("no")
+    pairs = a.join(b, F.col("probe_no") < F.col("no"))
+    got = {(r[0], r[1]) for r in index.narrowed(pairs).select("probe_no", "no").collect()}
+    index.drop()
+    m = {n: multiset(x) for n, x in data}
+    assert all(near(m[x], m[y]) for x, y in want) and want <= got
+    alike = {(x, y) for x, y in itertools.combinations(m, 2) if 5 * min(m[x].total(), m[y].total()) >= 4 * max(m[x].total(), m[y].total()) and m[x].total() > 50} - want
+    assert {p for p in itertools.combinations(m, 2) if near(m[p[0]], m[p[1]])} <= got and len(alike & got) < 0.05 * len(alike)
+
+
 def test_index_is_opened_by_name(spark):
     words = lambda i: " ".join(f"w{i}x{j}" for j in range(700))
     df = spark.createDataFrame([(i, words(i), f"id{i}") for i in range(3)], "no long, text string, id string")
