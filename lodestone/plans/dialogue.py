@@ -18,7 +18,7 @@ _GRAMS = r"""w as (select sample_no, regexp_extract_all(lower(text), '[a-z0-9_''
 
 @query(f"with {_SQL_PHRASES}, {_GRAMS} select sample_no, phrase, category from g join p using (phrase)")
 def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
-    p = spark.createDataFrame(_PHRASES, "phrase string, category string")
+    p = phrases.known_size(spark, _PHRASES, ["phrase", "category"])
     return phrases.phrase_hits(table(spark, d, "attack_samples"), "sample_no", "text", p)
 
 
