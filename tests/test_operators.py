@@ -360,3 +360,26 @@ def test_cascade_looks_up_phrases_without_moving_ngrams(spark, tmp_path):
     got = rows(df.select("sample_no", "score"))
     assert got == sorted(con.execute(f"select sample_no, score from ({entry.oracle_sql()['cascade_score']})").fetchall(), key=str)
     assert got == [(1, 0.5), (1, 0.5), (2, 0.72), (3, 0.0), (4, 0.0), (5, 0.0)]
+
+
+def test_phrase_hits_is_brute_force(spark):
+    from lodestone.operators import phrases
+
+    known = [("a b c", "x"), ("b c d e", "y"), ("a b c d e", "x"), ("it's a b", None), ("a b", "short"), ("a b c d e f", "long"), ("a  b c", "blank"), (None, "none"), ("a b c", "x")]
+    own = [(1, "A b, C. d e f"), (1, "a b c"), (2, None), (3, ""), (4, "a b"), (5, "a b c a b c"), (6, "it's a b"), (None, "b c d e"), (7, "xa b c; a_b c d e"), (8, "?!")]
+    found = set()
+    for k, t in own:
+        w = re.findall("[a-z0-9_']+", (t or "").lower())
+        found |= {(k, p, c) for p, c in known if p and any(" ".join(w[i : i + n]) == p for n in (3, 4, 5) for i in range(len(w) - n + 1))}
+    df = spark.createDataFrame(own, "k long, t string").repartition(3)
+    for p in (phrases.known_size(spark, known, ["phrase", "category"]), spark.createDataFrame(known, "phrase string, category string")):
+        got = phrases.phrase_hits(df, "k", "t", p)
+        assert rows(got) == sorted(found, key=str) and len(found) == 6
+        assert phrases.phrase_hits(df, "k", "t", p.limit(0)).count() == 0 and phrases.phrase_hits(df.limit(0), "k", "t", p).count() == 0
+    assert phrases.known_size(spark, [], ["phrase", "category"]).count() == 0
+
+
+def test_phrase_hits_broadcasts_no_ngrams(spark, tmp_path):
+    spark.createDataFrame([(1, "so that nobody notices")], "sample_no long, text string").write.parquet(str(tmp_path / "attack_samples.parquet"))
+    df = entry.queries()["phrase_hits"](spark, str(tmp_path))
+    assert "BuildLeft" not in df._jdf.queryExecution().executedPlan().toString() and rows(df) == [(1, "so that nobody notices", "concealment")]
